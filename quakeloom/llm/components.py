@@ -9,7 +9,7 @@ from .common import materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first())
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 998_244_353)).first())
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
