@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, toxicity
+from . import packing, simhash_dedup, toxicity
 
-MODULES = (toxicity, simhash_dedup)
+MODULES = (toxicity, packing, simhash_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
