@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import packing, simhash_dedup, toxicity
+from . import lm_scoring, packing, simhash_dedup, toxicity
 
-MODULES = (toxicity, packing, simhash_dedup)
+MODULES = (toxicity, packing, simhash_dedup, lm_scoring)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
