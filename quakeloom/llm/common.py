@@ -39,7 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, share: float = 1 / 256) -> DataFrame:
+def join_heavy(left: DataFrame, right: DataFrame, keys: str | list[str], count: str, share: float = 1 / 256) -> DataFrame:
     """Inner join of left with right, which has one row per key and in `count` the key's rows in left.
 
     Keys with at least `share` of left's rows number at most 1 / share, so their rows of right are broadcast;
@@ -47,7 +47,8 @@ def join_heavy(left: DataFrame, right: DataFrame, key: str, count: str, share: f
     """
     total = right.agg(F.sum(count)).first()[0] or 0
     heavy = F.col(count) >= F.lit(max(2.0, total * share))
-    hot = F.broadcast(right.filter(heavy))
-    first = left.join(hot, key)
-    rest = left.join(F.broadcast(right.filter(heavy).select(key)), key, "left_anti").join(right.filter(~heavy), key)
+    keys = [keys] if isinstance(keys, str) else keys
+    hot = right.filter(heavy)
+    first = left.join(F.broadcast(hot), keys)
+    rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.filter(~heavy), keys)
     return first.unionByName(rest)
