@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, packing, simhash_dedup, suffix_dedup, toxicity
+from . import lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity
 
-MODULES = (toxicity, packing, simhash_dedup, suffix_dedup, lm_scoring)
+MODULES = (toxicity, packing, simhash_dedup, suffix_dedup, quality_rules, lm_scoring)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
