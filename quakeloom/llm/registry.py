@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filters, warc
+from . import chat_format, lm_scoring, packing, quality_rules, simhash_dedup, suffix_dedup, toxicity, url_filters, warc
 
-MODULES = (toxicity, packing, url_filters, simhash_dedup, warc, suffix_dedup, quality_rules, lm_scoring)
+MODULES = (toxicity, packing, url_filters, simhash_dedup, warc, suffix_dedup, chat_format, quality_rules, lm_scoring)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
