@@ -229,6 +229,35 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     return texts.join(repeated_ranges(texts, length), ["k", "t"], "left").select("doc_id", "text", "ranges").mapInPandas(run, schema)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with text cut to what is left of it, and n_chars, if there is such a column, set to its length.
+
+    Characters that a cut splits go. Documents stay even if nothing is left; a text without cuts is unchanged, a null
+    text stays null.
+    """
+    names = docs.columns
+    keyed = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63))), "_t": F.hash(F.coalesce("text", F.lit("")))})
+    ranges = repeated_ranges(_keyed(docs), length).select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("ranges").alias("_ranges"))
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, r in zip(texts, found, strict=True):
+            if text is None or r is None:
+                out.append(text)
+                continue
+            raw = _bytes(text)
+            spans = merge([(x["s"], x["e"]) for x in r])
+            left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
+            out.append(left.decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    joined = keyed.join(ranges, ["_k", "_t"], "left").withColumn("text", cut("text", "_ranges"))
+    if "n_chars" in names:
+        joined = joined.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return joined.select(*names)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_repeats(table(spark, sf_dir, "documents"), keep=False)
 

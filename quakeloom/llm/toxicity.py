@@ -147,8 +147,8 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "to
     return {"words": {t: float(x) for t, x in zip(vocab, w, strict=True) if x}, "bias": b}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with `score` (0 to 1) appended; a null or empty text scores the model's intercept. A column score is replaced."""
+def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) appended; a null or empty text scores the model's intercept. A column of that name is replaced."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most MAX_WORDS + identity terms
 
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         z = np.fromiter((bias + sum(map(weight.__getitem__, sorted(known & words(t)))) for t in texts), float, len(texts))
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
-    return docs.withColumn("score", run("text"))
+    return docs.withColumn(name, run("text"))
 
 
 def fold(column: str = "doc_id", folds: int = 5) -> Column:
