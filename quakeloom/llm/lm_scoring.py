@@ -29,7 +29,9 @@ from .common import materialize, table
 #: Context bytes. A gram of DEPTH + 1 bytes and the number of a text in its chunk share one unsigned 64-bit key.
 DEPTH = 4
 #: Bytes of text in a batch, and in the part of a batch that is held as arrays.
-BATCH_BYTES, CHUNK_BYTES = 24 << 20, 3 << 20
+BATCH_BYTES, CHUNK_BYTES = 16 << 20, 3 << 20
+#: Batches at least, so that small inputs run in parallel; more would repeat the common words and grams for nothing.
+MIN_BATCHES = 8
 WORD, GRAM = 0, 1
 
 
@@ -235,10 +237,9 @@ def score(docs: DataFrame, held_out: Column, batch_bytes: int = BATCH_BYTES) ->
     With no training text every estimate is one half and base_score is 0 (one possible outcome). An empty table
     gives an empty result. Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), (~held_out).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / batch_bytes))
+    n = max(MIN_BATCHES, math.ceil(size / batch_bytes))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.length("text"), F.substring("text", 1, 64)), F.lit(n)).cast("int"))
     keys = materialize(vocabularies(rows.repartition(n, "batch")), "vocabularies")
     sums = materialize(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
