@@ -86,8 +86,9 @@ def plane_corners(p: Vector, strike: Column, dip: Column, size: Column) -> Colum
 
 
 def disc_axes(n: Vector) -> tuple[Vector, Vector]:
-    """Two unit vectors that span the plane with unit normal n: along strike, and n x strike. Horizontal planes take x and y."""
-    size = F.sqrt(n[0] * n[0] + n[1] * n[1])
-    flat = size < 1e-9
-    u = F.when(flat, 1.0).otherwise(-n[1] / size), F.when(flat, 0.0).otherwise(n[0] / size), F.lit(0.0)
+    """Two unit vectors that span the plane with unit normal n: n x z (n x x for planes flatter than about 26 degrees), and n x that."""
+    flat = F.abs(n[2]) >= 0.9
+    u = F.when(flat, 0.0).otherwise(n[1]), F.when(flat, n[2]).otherwise(-n[0]), F.when(flat, -n[1]).otherwise(0.0)
+    size = norm(u)
+    u = tuple(x / size for x in u)
     return u, cross(n, u)
