@@ -11,6 +11,7 @@ the pieces by their rank among equal lengths, which is found without gathering a
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -23,36 +24,76 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 CAPACITY = 2048
-#: Entries of a tokenizing task's memory of words; it is emptied when full.
-CACHE = 400_000
+#: Entries of a tokenizing process's memory of words, which is emptied when full; texts whose words are looked up together.
+CACHE, GROUP = 800_000, 1024
 
 
 class _Words(dict):
-    """Token ids (little-endian unsigned 32-bit) of text without ASCII white space, remembered up to CACHE entries."""
+    """Token ids (little-endian unsigned 32-bit) of text without ASCII white space, remembered up to CACHE entries.
+
+    The vocabulary's pre-tokenizer drops white space and takes runs of letters apart from all else, and no token spans
+    two of its pieces. So a text's ids are those of its words in turn, a word's are those of its letters and of the
+    punctuation after them, and many runs of letters can be tokenized in one call: each ends with the only token that
+    closes a piece.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
+        self.letters: dict[str, bytes] = {}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.closes = np.zeros(size, bool)
+        self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        found = self.ids(word)
         if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-                self[""] = b""
-            self[word] = ids
-        return ids
-
-
-def token_bytes(words: _Words, text: str | None, end: bytes) -> bytes:
-    """Ids of the whole text and the end id. The vocabulary's pre-tokenizer drops white space and no token spans it,
-    so the ids of a text are those of its words in turn."""
-    if not text:
-        return end
-    parts = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-    return b"".join(map(words.__getitem__, parts)) + end
+            self[word] = found
+        return found
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of all short words among these."""
+        new = [w for w in words if w not in self and len(w) <= 64]
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            self[""] = b""
+        if len(self.letters) > CACHE:
+            self.letters.clear()
+        found, cores = [], []
+        for w in new:
+            core = w.rstrip(string.punctuation)
+            if core.isalpha():
+                found.append(w)
+                cores.append(core.lower() if core.isascii() else core)
+        unknown = [c for c in set(cores) if c not in self.letters]
+        if unknown:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(unknown):
+                raw, ends = ids.tobytes(), (4 * ends).tolist()
+                self.letters.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # some run of letters is more than one piece
+                self.letters.update((c, self.ids(c)) for c in unknown)
+        letters = self.letters
+        for w, core in zip(found, cores, strict=True):
+            self[w] = letters[core] if len(w) == len(core) else letters[core] + self[w[len(core) :]]
+
+
+#: The words of this process, by vocabulary file; a worker keeps them from task to task.
+_KNOWN: dict[str, _Words] = {}
+
+
+def token_bytes(words: _Words, texts: list[str | None], end: bytes) -> Iterator[bytes]:
+    """Ids of each whole text and the end id."""
+    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+    words.learn(set().union(*parts))
+    for p in parts:
+        yield b"".join(map(words.__getitem__, p)) + end
 
 
 def cut(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -61,12 +102,16 @@ def cut(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPA
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import public_tokenizers
 
-        words = _Words(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"))
+        path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
+        if path not in _KNOWN:
+            _KNOWN[path] = _Words(path)
+        words = _KNOWN[path]
         end, wide = np.asarray([end_id], "<u4").tobytes(), 4 * capacity
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = token_bytes(words, text, end)
+            texts = list(pdf["text"])
+            found = (x for i in range(0, len(texts), GROUP) for x in token_bytes(words, texts[i : i + GROUP], end))
+            for doc_id, ids in zip(pdf["doc_id"], found, strict=True):
                 rows += [(doc_id, at // wide, at // 4, min(wide, len(ids) - at) // 4, zlib.crc32(ids[at : at + wide])) for at in range(0, len(ids), wide)]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
