@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 XYZ = ("X", "Y", "Z")
 
 
@@ -92,9 +94,9 @@ def knn(points: DataFrame, k: int, key: str = "ID", axes: tuple[str, ...] = XYZ,
         near = grid_pairs(open_rows, points.select(key, *axes), axes, size).filter(F.col(f"i_{key}") != F.col(f"j_{key}"))
         near = near.select(F.col(f"i_{key}").alias("i"), F.col(f"j_{key}").alias("j"), d2(axes).alias("d2")).filter(F.col("d2") <= size * size)
         near = near.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k_eff)
-        near = near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("i"))).filter(F.col("_n") == k_eff).drop("_n").checkpoint()
+        near = cut(near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("i"))).filter(F.col("_n") == k_eff).drop("_n"))
         done = near if done is None else done.union(near)
-        open_rows = open_rows.join(near.select(F.col("i").alias(key)).distinct(), key, "left_anti").checkpoint()
+        open_rows = cut(open_rows.join(near.select(F.col("i").alias(key)).distinct(), key, "left_anti"))
         if open_rows.isEmpty():
             break
         size *= 2 if size < max(spread) else 8
