@@ -40,7 +40,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """
     t = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("trimmed", F.btrim("text", F.lit(WHITE)))
     t = t.withColumn("w", F.when(F.col("trimmed") == "", F.array().cast("array<string>")).otherwise(F.split("trimmed", f"{SPACE}+")))
-    t = t.withColumn("lines", F.filter(F.split("trimmed", "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != ""))
+    t = t.withColumn("lines", F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(WHITE)) != ""))
     # windows as (hash, place), sorted: equal ones become neighbours
     t = t.withColumn("g", F.expr("if(size(w) < 3, array(), sort_array(transform(sequence(0, size(w) - 3), i -> struct(xxhash64(w[i], w[i + 1], w[i + 2]) AS h, i AS i))))"))
     t = t.withColumn("twice", F.expr("sort_array(transform(filter(g, (x, j) -> (j > 0 AND g[greatest(j - 1, 0)].h = x.h) OR (j < size(g) - 1 AND g[least(j + 1, size(g) - 1)].h = x.h)), x -> x.i))"))
