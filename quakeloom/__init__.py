@@ -1,0 +1 @@
+"""Seismic fault imaging and corpus preparation on Spark DataFrames."""

@@ -44,9 +44,14 @@ _NORMAL = """n0 AS (SELECT *, cxy * cyz - cxz * (cyy - l3) AS ax, cxz * cxy - (c
 FITS = f"{G}, {NEAR}, {_S}, {_EIG}, {_ACCEPT}, {_NORMAL}"
 
 
-def fitted(spark, d):
+def fitted(spark, d, r=R):
     cat = derived.catalog(spark, d)
-    return planes.fit_planes(neighbors.neighbor_pairs(cat, R, None, "eid"), cat, R)
+    return planes.fit_planes(neighbors.neighbor_pairs(cat, r, None, "eid"), cat, r)
+
+
+def flagship(spark, d):
+    """A rupture plane per event, from neighbours within 500 m, so that the smallest table has some."""
+    return fitted(spark, d, 500.0).select("i", "n", "lambda_2_3", "rupture_plane_azimuth", "rupture_plane_dip")
 
 
 book.add("a1_plane_fit", "SELECT i, n, round(l1 + l2 + l3, 6) AS total_variance, round(l2 / l1, 6) AS planarity, round(abs(nz), 5) AS steepness FROM n2", FITS)(

@@ -7,4 +7,4 @@ from .plans import analysis_queries, catalog_queries, cluster_queries, database_
 MODULES = (database_queries, function_queries, catalog_queries, plane_queries, cluster_queries, analysis_queries)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in MODULES for name, sql in m.ORACLE_SQL.items()}
-FLAGSHIP = plane_queries.QUERIES["a1_plane_fit"]
+FLAGSHIP = plane_queries.flagship

@@ -1,0 +1 @@
+"""Empty: the catalog analyses load tables once; there is no windowed or stateful stream among them."""
