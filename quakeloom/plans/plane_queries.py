@@ -54,8 +54,8 @@ def flagship(spark, d):
     return fitted(spark, d, 500.0).select("i", "n", "lambda_2_3", "rupture_plane_azimuth", "rupture_plane_dip")
 
 
-book.add("a1_plane_fit", "SELECT i, n, round(l1 + l2 + l3, 6) AS total_variance, round(l2 / l1, 6) AS planarity, round(abs(nz), 5) AS steepness FROM n2", FITS)(
-    lambda s, d: fitted(s, d).select("i", "n", F.round("total_variance", 6).alias("total_variance"), F.round(F.col("lambda_2") / F.col("lambda_1"), 6).alias("planarity"), F.round(F.abs("normal_vector_z"), 5).alias("steepness")))
+book.add("a1_plane_fit", "SELECT i, n, round(sqrt(l1 + l2 + l3), 6) AS spread, round(l2 / l1, 6) AS planarity, round(abs(nz), 5) AS steepness FROM n2", FITS)(
+    lambda s, d: fitted(s, d).select("i", "n", F.round(F.sqrt("total_variance"), 6).alias("spread"), F.round(F.col("lambda_2") / F.col("lambda_1"), 6).alias("planarity"), F.round(F.abs("normal_vector_z"), 5).alias("steepness")))
 book.add("a2_plane_acceptance", "SELECT count(*) AS planes, min(n) AS least_n, CAST(sum(n) AS BIGINT) AS neighbors, round(avg(l2 / (l3 + 1e-12)), 3) AS mean_ratio FROM pl", f"{G}, {NEAR}, {_S}, {_EIG}, {_ACCEPT}")(
     lambda s, d: fitted(s, d).agg(F.count(F.lit(1)).alias("planes"), F.min("n").alias("least_n"), F.sum("n").alias("neighbors"), F.round(F.avg("lambda_2_3"), 3).alias("mean_ratio")))
 book.add("a14_plane_quality", """SELECT round(avg(x), 3) AS mean_lambda23_ratio, round(median(x), 3) AS median_lambda23_ratio, round(avg((x >= 5)::INT), 6) AS share_over_5, round(avg((x >= 20)::INT), 6) AS share_over_20, round(avg((x >= 50)::INT), 6) AS share_over_50,
