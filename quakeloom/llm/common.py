@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in the contracts, as a regular expression class.
@@ -52,3 +54,30 @@ def join_heavy(left: DataFrame, right: DataFrame, keys: str | list[str], count:
     first = left.join(F.broadcast(hot), keys)
     rest = left.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(right.filter(~heavy), keys)
     return first.unionByName(rest)
+
+
+class KeyFilter:
+    """A bitmap of fixed size (2 ** bits) of the keys' hashes: rows that it refuses are surely not among the keys.
+
+    Filtering a wide table by it before a join with the keys keeps rows without a match out of the shuffle. With more
+    keys than bits it lets all rows through, which costs the saving and nothing else.
+    """
+
+    def __init__(self, keys: DataFrame, names: list[str], bits: int = 25):
+        place = F.pmod(F.xxhash64(*names), F.lit(1 << bits))
+        words = keys.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).toArrow()
+        table = np.zeros(1 << (bits - 6), np.int64)
+        table[words["w"].to_numpy()] = words["b"].to_numpy()
+        shared = keys.sparkSession.sparkContext.broadcast(table)
+        self.names, self.place = names, place
+
+        @F.pandas_udf("boolean")
+        def maybe(p: pd.Series) -> pd.Series:
+            at = p.to_numpy(np.int64)
+            return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+        self._maybe = maybe
+
+    def may_hold(self) -> Column:
+        """Condition on a table with the key's columns."""
+        return self._maybe(self.place)

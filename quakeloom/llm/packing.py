@@ -25,7 +25,7 @@ from .common import materialize, table
 
 CAPACITY = 2048
 #: Entries of a tokenizing process's memory of words, which is emptied when full; texts whose words are looked up together.
-CACHE, GROUP = 800_000, 1024
+CACHE, GROUP = 500_000, 512
 
 
 class _Words(dict):
@@ -42,7 +42,6 @@ class _Words(dict):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.letters: dict[str, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.closes = np.zeros(size, bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
@@ -62,26 +61,24 @@ class _Words(dict):
         if len(self) + len(new) > CACHE:
             self.clear()
             self[""] = b""
-        if len(self.letters) > CACHE:
-            self.letters.clear()
         found, cores = [], []
         for w in new:
             core = w.rstrip(string.punctuation)
             if core.isalpha():
                 found.append(w)
                 cores.append(core.lower() if core.isascii() else core)
-        unknown = [c for c in set(cores) if c not in self.letters]
+        unknown = [c for c in set(cores) if c not in self]
         if unknown:
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
             if len(ends) == len(unknown):
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.letters.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+                self.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
             else:  # some run of letters is more than one piece
-                self.letters.update((c, self.ids(c)) for c in unknown)
-        letters = self.letters
+                self.update((c, self.ids(c)) for c in unknown)
         for w, core in zip(found, cores, strict=True):
-            self[w] = letters[core] if len(w) == len(core) else letters[core] + self[w[len(core) :]]
+            if w not in self:
+                self[w] = self[core] if len(w) == len(core) else self[core] + self[w[len(core) :]]
 
 
 #: The words of this process, by vocabulary file; a worker keeps them from task to task.

@@ -10,8 +10,8 @@ limits (see the README). This operator reaches the same result by locally chosen
    anchor form a block. One row per block (its anchor, its whole content as a hash) is all that is shuffled, and
    only blocks whose anchor occurs twice go on.
 2. A block whose whole content occurs twice is repeated in all its windows.
-3. Blocks that share an anchor but differ (the edges of repeats) are compared window by window: their windows'
-   hashes are counted over the distinct blocks.
+3. Blocks that share an anchor but differ (the edges of repeats) are cut out, once each, and taken apart in the same
+   way by longer grams, in the end window by window.
 4. The windows that repeat are joined back to their documents as byte ranges, and the kept bytes are hashed.
 
 Every step is an aggregation by hash or a join on it; no group of equal strings is gathered anywhere. Strings are
@@ -28,10 +28,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_heavy, materialize, table
+from .common import KeyFilter, join_heavy, materialize, table
 
-#: Bytes of a repeated string, and of the k-grams that serve as anchors.
-LENGTH, GRAM = 200, 40
+#: Bytes of a repeated string, and of the k-grams that serve as anchors, level by level.
+LENGTH, GRAMS = 200, (40, 150, 185)
 #: Bytes of text worked on as one array; a longer text is worked through in overlapping pieces.
 PIECE = 1 << 17
 
@@ -50,7 +50,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 _BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 
 
-def gram_hashes(data: np.ndarray, gram: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int = GRAMS[0]) -> np.ndarray:
     """Hash of the `gram` bytes from each place, by combining hashes of shorter strings; len(data) - gram + 1 values."""
     h, n = _BYTE[data], 1
     while n < gram:
@@ -80,7 +80,7 @@ def anchors(h: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & _PLACE).astype(np.int64)
 
 
-def blocks(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def blocks(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAMS[0]) -> tuple[np.ndarray, ...]:
     """first window, further windows, anchor hash and content hash of each block of the texts that end at `ends`.
 
     data: texts of at least `length` bytes, one after another.
@@ -109,29 +109,29 @@ def _parts(size: int, length: int) -> Iterator[tuple[int, int]]:
         at = end - length + 1
 
 
-def _bytes(text: str | None) -> bytes:
-    return text.encode("utf-8") if text else b""
+def _bytes(text: str | bytes | None) -> bytes:
+    return text.encode("utf-8") if isinstance(text, str) else bytes(text) if text is not None else b""
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id and text with a row key (k, t): rows of equal key have equal texts (t tells rows of one doc_id apart)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.hash(text).alias("t"))
+    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.hash(text).cast("long").alias("t"))
 
 
-def _block_rows(texts: DataFrame, length: int) -> DataFrame:
+def _block_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ("k", "t", "first", "span", "anchor", "b")
         for pdf in batches:
-            out = []
-            held, size = [], 0
+            out, rows, held, size = [], 0, [], 0
 
-            def flush(held: list) -> None:
+            def flush(held: list) -> tuple:
                 bounds = np.cumsum([len(x[3]) for x in held])
-                first, span, anchor, whole = blocks(np.frombuffer(b"".join(x[3] for x in held), np.uint8), bounds, length)
+                first, span, anchor, whole = blocks(np.frombuffer(b"".join(x[3] for x in held), np.uint8), bounds, length, gram)
                 of = np.searchsorted(bounds, first, side="right")
                 k, t, at = (np.array([x[i] for x in held], np.int64) for i in range(3))
                 starts = bounds - [len(x[3]) for x in held]
-                out.append((k[of], t[of], first - starts[of] + at[of], span, anchor.view(np.int64), whole.view(np.int64)))
+                return k[of], t[of], first - starts[of] + at[of], span, anchor.view(np.int64), whole.view(np.int64)
 
             for k, t, text in zip(pdf["k"], pdf["t"], pdf["text"], strict=True):
                 raw = _bytes(text)
@@ -139,65 +139,82 @@ def _block_rows(texts: DataFrame, length: int) -> DataFrame:
                     held.append((k, t, a, raw[a:b]))
                     size += b - a
                     if size >= PIECE:
-                        flush(held)
-                        held, size = [], 0
+                        out.append(flush(held))
+                        held, size, rows = [], 0, rows + len(out[-1][0])
+                        if rows > 200_000:
+                            yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                            out, rows = [], 0
             if held:
-                flush(held)
+                out.append(flush(held))
             if out:
-                yield pd.DataFrame(dict(zip(("k", "t", "first", "span", "anchor", "b"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    return texts.select("k", "t", "text").mapInPandas(run, "k long, t int, first long, span int, anchor long, b long")
+    return texts.select("k", "t", "text").mapInPandas(run, "k long, t long, first long, span int, anchor long, b long")
 
 
-def _edge_windows(texts: DataFrame, edges: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """(anchor, b, at, w): the hash of each window of the blocks named in edges (k, t, marks: first, span, anchor, b)."""
-    names = ("anchor", "b", "at", "w")
+def _contents(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame:
+    """(k, t, text): the bytes of each block named in marks (k, t, marks: first, span, anchor, b), keyed by its anchor and content hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for text, marks in zip(pdf["text"], pdf["marks"], strict=True):
-                raw = np.frombuffer(_bytes(text), np.uint8)
-                for m in marks:
-                    n = m["span"] + 1
-                    h = gram_hashes(raw[m["first"] : m["first"] + m["span"] + length], gram)
-                    w = window_hashes(h, np.arange(n), length, gram)
-                    out.append((np.full(n, m["anchor"]), np.full(n, m["b"]), np.arange(n), w.view(np.int64)))
-                if len(out) > 4000:
-                    yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                    out = []
-            if out:
-                yield pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            rows = []
+            for text, *found in zip(pdf["text"], *(pdf[c] for c in names), strict=True):
+                raw = _bytes(text)
+                rows += [(anchor, b, raw[first : first + span + length]) for first, span, anchor, b in zip(*(x.tolist() for x in found), strict=True)]
+                if len(rows) > 20_000:
+                    yield pd.DataFrame(rows, columns=["k", "t", "text"])
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "t", "text"])
 
-    return texts.select("k", "t", "text").join(edges, ["k", "t"]).select("text", "marks").mapInPandas(run, "anchor long, b long, at int, w long")
+    names = ("first", "span", "anchor", "b")  # as plain arrays, which are small in Python
+    marked = texts.select("k", "t", "text").filter(KeyFilter(marks, ["k", "t"]).may_hold())
+    return marked.join(marks, ["k", "t"]).select("text", *(F.col(f"marks.{c}").alias(c) for c in names)).mapInPandas(run, "k long, t long, text binary")
 
 
-def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(k, t, ranges): the byte ranges of each text that repeated strings cover, as a set; texts without any are absent."""
-    rows = materialize(_block_rows(texts, length), "blocks")
-    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1").select("anchor")
-    live = materialize(rows.join(twice, "anchor"), "live-blocks")
+def repeated_windows(texts: DataFrame, length: int = LENGTH, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    """(k, t, first, last): ranges of windows of `length` bytes, by their starts, that occur more than once in all texts (k, t, text).
+
+    Blocks are formed by anchors of grams[0] bytes. Those that share an anchor but differ are taken out, once each, and
+    worked on in the same way with the next, longer grams; in the end each window is a block of its own.
+    """
+    gram, *longer = grams
+    rows = materialize(_block_rows(texts, length, gram), f"blocks{gram}")
+    twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    if not longer:
+        return join_heavy(rows, materialize(twice, "repeated"), "anchor", "uses").selectExpr("k", "t", "first", "first + span AS last")
+    live = materialize(rows.join(twice.select("anchor"), "anchor"), f"live{gram}")
     kinds = live.groupBy("anchor", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "t", "first", "span")).alias("one"))
-    kinds = materialize(kinds, "distinct-blocks")
+    kinds = materialize(kinds, f"kinds{gram}")
     mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
     marks = kinds.join(mixed, "anchor").select("one.k", "one.t", F.struct("one.first", "one.span", "anchor", "b").alias("mark"))
-    windows = materialize(_edge_windows(texts, marks.groupBy("k", "t").agg(F.collect_list("mark").alias("marks")), length), "windows")
-    shared = windows.groupBy("anchor", "w").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor", "w")
-    hits = windows.join(shared, ["anchor", "w"]).groupBy("anchor", "b").agg(F.sort_array(F.collect_list("at")).alias("hits"))
-    # a kind's repeated windows: all of them (null), or those in hits, of which there are fewer than `length`
-    whole = kinds.filter("times > 1").select("anchor", "b", "times", F.lit(None).cast("array<int>").alias("hits"))
-    some = kinds.filter("times = 1").select("anchor", "b", "times").join(hits, ["anchor", "b"])
-    found = join_heavy(live, materialize(whole.union(some), "repeated-blocks"), ["anchor", "b"], "times")
-    runs = F.expr(f"""CASE WHEN hits IS NULL THEN array(struct(first AS s, first + span + {length} AS e))
-        ELSE transform(filter(hits, (h, i) -> i = 0 OR hits[i - 1] < h - 1),
-                       h -> struct(first + h AS s, first + filter(hits, (g, j) -> g >= h AND (j = size(hits) - 1 OR hits[j + 1] > g + 1))[0] + {length} AS e)) END""")
-    return found.select("k", "t", F.explode(runs).alias("r")).groupBy("k", "t").agg(F.collect_set("r").alias("ranges"))
-
-
-def merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Sorted ranges of which none overlap or touch."""
+    marks = materialize(marks.groupBy("k", "t").agg(F.collect_list("mark").alias("marks")), f"marks{gram}")
+    inner = repeated_windows(materialize(_contents(texts, marks, length), f"contents{gram}"), length, tuple(longer))
+    # a kind's repeated windows: all of them (null), or the ranges found inside, of which there are fewer than `length`
+    some = inner.groupBy(F.col("k").alias("anchor"), F.col("t").alias("b")).agg(F.collect_list(F.struct("first", "last")).alias("parts"))
+    some = kinds.filter("times = 1").select("anchor", "b", "times").join(some, ["anchor", "b"])
+    whole = kinds.filter("times > 1").select("anchor", "b", "times", F.lit(None).cast(some.schema["parts"].dataType).alias("parts"))
+    found = join_heavy(live, materialize(whole.union(some), f"repeated{gram}"), ["anchor", "b"], "times")
+    ranges = F.expr("if(parts IS NULL, array(struct(first AS s, first + span AS e)), transform(parts, p -> struct(first + p.first AS s, first + p.last AS e)))")
+    return found.select("k", "t", F.explode(ranges).alias("r")).selectExpr("k", "t", "r.s AS first", "r.e AS last")
+
+
+def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(k, t, ranges): the byte ranges of each text that repeated strings cover, as a set; texts without any are absent."""
+    found = repeated_windows(texts, length, tuple(g for g in GRAMS if g < length) + (length,))
+    return materialize(found.groupBy("k", "t").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("ranges")), "ranges")
+
+
+def _with_ranges(texts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """texts that may have ranges with them (null for none), and those that surely have none and so take no part in the join."""
+    may = KeyFilter(ranges, ["k", "t"]).may_hold()
+    return texts.filter(may).join(ranges, ["k", "t"], "left"), texts.filter(~may)
+
+
+def merge(starts: np.ndarray | None, ends: np.ndarray | None) -> list[tuple[int, int]]:
+    """The ranges in order, those that overlap or touch as one; none for null."""
     out: list[tuple[int, int]] = []
-    for s, e in sorted(ranges):
+    for s, e in sorted(zip(starts.tolist(), ends.tolist(), strict=True)) if starts is not None else ():
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], max(out[-1][1], e))
         else:
@@ -217,16 +234,19 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for doc_id, text, found in zip(pdf["doc_id"], pdf["text"], pdf["ranges"], strict=True):
+            for doc_id, text, starts, ends in zip(pdf["doc_id"], pdf["text"], pdf["s"], pdf["e"], strict=True):
                 raw = _bytes(text)
-                spans = merge([(r["s"], r["e"]) for r in found]) if found is not None else []
+                spans = merge(starts, ends)
                 left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
                 rows.append((doc_id, len(raw), len(raw) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left)[: 5 + keep])
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: 5 + keep])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
-    return texts.join(repeated_ranges(texts, length), ["k", "t"], "left").select("doc_id", "text", "ranges").mapInPandas(run, schema)
+    some, none = _with_ranges(texts, repeated_ranges(texts, length))
+    zero = F.lit(0).cast("long")
+    whole = [F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), F.col("text").cast("binary").alias("kept")]
+    return some.select("doc_id", "text", "ranges.s", "ranges.e").mapInPandas(run, schema).union(none.select("doc_id", *whole[: 4 + keep]))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -236,26 +256,27 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text stays null.
     """
     names = docs.columns
-    keyed = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63))), "_t": F.hash(F.coalesce("text", F.lit("")))})
-    ranges = repeated_ranges(_keyed(docs), length).select(F.col("k").alias("_k"), F.col("t").alias("_t"), F.col("ranges").alias("_ranges"))
+    ranges = repeated_ranges(_keyed(docs), length)
+    whole = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.hash(F.coalesce("text", F.lit(""))).cast("long").alias("t"))
 
     @F.pandas_udf("string")
-    def cut(texts: pd.Series, found: pd.Series) -> pd.Series:
+    def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
         out = []
-        for text, r in zip(texts, found, strict=True):
-            if text is None or r is None:
+        for text, s, e in zip(texts, starts, ends, strict=True):
+            if text is None or s is None:
                 out.append(text)
                 continue
             raw = _bytes(text)
-            spans = merge([(x["s"], x["e"]) for x in r])
+            spans = merge(s, e)
             left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in spans)], [*(s for s, _ in spans), len(raw)], strict=True))
             out.append(left.decode("utf-8", "ignore"))
         return pd.Series(out, dtype=object)
 
-    joined = keyed.join(ranges, ["_k", "_t"], "left").withColumn("text", cut("text", "_ranges"))
-    if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return joined.select(*names)
+    some, none = _with_ranges(whole, ranges)
+    some = some.withColumn("left", cut("row.text", "ranges.s", "ranges.e"))
+    chars = F.when(F.col("ranges").isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else None
+    new = {"text": F.col("left"), "n_chars": chars}
+    return some.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in names)).union(none.select("row.*"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
