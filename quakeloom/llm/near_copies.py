@@ -1,13 +1,18 @@
-"""Near-duplicate documents: SimHash chains propose pairs, exact five-word-shingle similarity decides.
+"""Near-duplicate documents: a prefix join proposes pairs, exact five-word-shingle similarity decides.
 
-The 64 bits of one SimHash differ too much between texts of similarity 0.8 to be found by equal pieces. Here each text
-has several independent fingerprints over its distinct words, where a changed word moves few bits; two texts meet if in
-any of them a chain of consecutive pieces agrees (the pigeonring chain of simhash_dedup). Met pairs whose fingerprints
-differ in too many bits altogether are dropped, the others are compared exactly.
+Under one order of all shingles, two sets with a Jaccard index of t or more share one among their first n - ceil(t n) + 1
+elements, n the set's size. So texts meet by these elements as join keys, and no pair is missed; shingles that are common
+in a sample come last in the order, which makes keys rare. Met pairs are dropped only where that is sure: by sizes, by the
+places of the shared key, and by the parities of 1024 classes of shingles, of which each element in one set alone changes
+one. The others are compared exactly.
+
+Of a key with many texts, rounds first compare all with one text of them and unite what is near. What is then left are the
+pairs of texts of different groups; all of these are compared too.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from itertools import repeat
@@ -18,15 +23,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import KeyFilter, materialize
 from .components import components
-from .simhash_dedup import BITS, bounds, chain_bits, rotated
+from .simhash_dedup import BITS
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Independent fingerprints, pieces of each, pieces in a chain, and bits that a pair may differ in over all fingerprints.
-PRINTS, SEGMENTS, CHAIN, MOST_BITS = 8, 5, 2, 88
-#: Texts of a chain bucket that are all paired; those of a larger bucket are paired with its first and its last text.
+#: Fingerprints of word_prints, and bits that near copies with scattered edits differ in over all of them at most.
+PRINTS, MOST_BITS = 8, 88
+#: Texts of a key that are all paired at once; those of a larger one are first compared with one text of it a round.
 BUCKET = 12
+#: Rounds at most, and pairs left per text and key below which no further round is made.
+ROUNDS, FEW = 4, 4
+#: One in SAMPLE texts is counted for common shingles: those in COMMON of them, the LISTED most frequent.
+SAMPLE, COMMON, LISTED = 8, 6, 1 << 18
+#: 64-bit words of parities.
+PARITIES = 16
 
 _SEEDS = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) & (2**64 - 1) for i in range(64)], np.uint64)
 WORD = re.compile(r"\w+")
@@ -61,32 +72,119 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(7)), np.uint64)).view(np.int64)
 
 
-def classes(docs: DataFrame, prints: int = PRINTS) -> DataFrame:
-    """One row per distinct text: tid (its hash), least (smallest doc_id key) and fp (fingerprints); docs: k, text."""
+def parities(s: np.ndarray) -> np.ndarray:
+    """Whether the number of shingles is odd, in each of 64 * PARITIES classes. Two sets differ in as many elements at least as in bits."""
+    odd = np.bincount(s.view(np.uint64) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1 if len(s) else np.zeros(64 * PARITIES, np.int64)
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"k": pdf["k"], "tid": pdf["tid"], "fp": [word_prints(t, prints) for t in pdf["text"]]})
 
-    rows = docs.select("k", "tid", "text").mapInPandas(run, "k long, tid long, fp array<long>")
-    return rows.groupBy("tid").agg(F.min("k").alias("least"), F.first("fp").alias("fp"))
+def prefix_length(n: int, least: float) -> int:
+    """First elements of a set of n among which one is shared with any set of Jaccard index `least` or more."""
+    return min(n, n - math.ceil(least * n - 1e-9) + 1)
 
 
-def candidates(texts: DataFrame, prints: int = PRINTS, bucket: int = BUCKET, most_bits: int = MOST_BITS) -> DataFrame:
-    """Pairs (a, b) of tids that share a chain bucket and differ in at most most_bits bits over all fingerprints."""
-    b = bounds(SEGMENTS)
-    keys = [f"struct({p * SEGMENTS + i} AS i, shiftrightunsigned({rotated(f'fp[{p}]', b[i])}, {BITS - chain_bits(i, CHAIN, SEGMENTS)}) AS c)" for p in range(prints) for i in range(SEGMENTS)]
-    keyed = texts.select("tid", "least", F.explode(F.array(*map(F.expr, keys))).alias("e")).select("tid", "least", "e.i", "e.c")
-    sizes = keyed.groupBy("i", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("least", "tid")).alias("lo"), F.max(F.struct("least", "tid")).alias("hi")).filter("n > 1")
-    met = materialize(keyed.join(sizes, ["i", "c"]), "buckets")
-    few = met.filter(F.col("n") <= bucket).select("i", "c", "tid")
-    pairs = few.select("i", "c", F.col("tid").alias("a")).join(few.select("i", "c", F.col("tid").alias("b")), ["i", "c"]).filter("a < b").select("a", "b")
-    many = met.filter(F.col("n") > bucket)
-    ends = many.select(F.col("tid").alias("a"), F.explode(F.array("lo.tid", "hi.tid")).alias("b"))
-    pairs = pairs.union(ends).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left, right = texts.select(F.col("tid").alias("a"), F.col("fp").alias("fa")), texts.select(F.col("tid").alias("b"), F.col("fp").alias("fb"))
-    differ = F.expr("aggregate(zip_with(fa, fb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return pairs.join(left, "a").join(right, "b").filter(differ <= most_bits).select("a", "b")
+def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles of a sample of the texts, sorted, and in how many of them each occurs. They only set the order of keys."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                sets = [shingle_set(t) for t in pdf["text"].iloc[at : at + 64]]
+                yield pd.DataFrame({"s": np.concatenate(sets)})
+
+    some = rows.filter(F.pmod(F.xxhash64("tid", F.lit(1)), F.lit(SAMPLE)) == 0).select("text").mapInPandas(run, "s long")
+    found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(LISTED).toArrow()
+    s, n = found["s"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def keys(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """One row per row of rows (k, tid, text): k, tid, n (shingles), par (parities) and keys (shingles of the prefix in
+    order, as c). A text without words has the key 0 and n 0."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(common_shingles(rows))
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        if not len(s):
+            return np.zeros(1, np.int64)
+        often, count = shared.value
+        at = np.minimum(np.searchsorted(often, s), max(len(often) - 1, 0))
+        weight = np.where(often[at] == s, count[at], 0) if len(often) else np.zeros(len(s), np.int64)
+        return s[np.lexsort((s, weight))][: prefix_length(len(s), least)]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 256):
+                part = pdf.iloc[at : at + 256]
+                sets = [shingle_set(t) for t in part["text"]]
+                yield pd.DataFrame({"k": part["k"].to_numpy(), "tid": part["tid"].to_numpy(), "n": [len(s) for s in sets], "par": [parities(s) for s in sets], "keys": [prefix(s) for s in sets]})
+
+    return rows.select("k", "tid", "text").mapInPandas(run, "k long, tid long, n int, par array<long>, keys array<long>")
+
+
+def meetings(keyed: DataFrame) -> DataFrame:
+    """(c, tid, n, pos): the keys that several texts have, with each one's size and the key's place in its order; keyed: keys()."""
+    flat = keyed.select("tid", "n", F.posexplode("keys").alias("pos", "c"))
+    shared = flat.groupBy("c").agg(F.min("tid").alias("lo"), F.max("tid").alias("hi")).filter("lo < hi").select("c")
+    shared = materialize(shared, "shared")
+    flat = flat.filter(KeyFilter(shared, ["c"]).may_hold())
+    return materialize(flat.join(shared, "c").distinct(), "meetings")
+
+
+def possible(pairs: DataFrame, texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """The pairs (a, b) without those that surely are less alike than `least`, by sizes and parities."""
+    left, right = (texts.select(F.col("tid").alias(x), F.col("n").alias(f"n{x}"), F.col("par").alias(f"p{x}")) for x in "ab")
+    most = f"(na + nb) * {(1 - least) / (1 + least)!r}D + 1e-6"
+    differ = "aggregate(zip_with(pa, pb, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return pairs.join(left, "a").join(right, "b").filter(f"abs(na - nb) <= {most} AND {differ} <= {most}").select("a", "b")
+
+
+def all_pairs(met: DataFrame, least: float = SIMILARITY, group: str | None = None) -> DataFrame:
+    """Pairs (a, b) of the texts that share a key, of different `group` if one is named, where sizes and places allow `least`."""
+    extra = [group] if group else []
+    left, right = (met.select("c", *(F.col(x).alias(f"{x}_{y}") for x in ("tid", "n", "pos", *extra))) for y in "ab")
+    both = f"ceil((n_a + n_b) * {least / (1 + least)!r}D - 1e-6)"
+    ok = f"tid_a < tid_b AND ((n_a = 0 AND n_b = 0) OR (n_a - pos_a >= {both} AND n_b - pos_b >= {both}))"
+    pairs = left.join(right, "c").filter(ok + (f" AND {group}_a <> {group}_b" if group else ""))
+    return pairs.select(F.col("tid_a").alias("a"), F.col("tid_b").alias("b")).distinct()
+
+
+def star_pairs(met: DataFrame, turn: int, group: str) -> DataFrame:
+    """Pairs of each key's texts with one of them, the same for most keys of a group of texts and another one each turn."""
+    one = met.groupBy("c").agg(F.min(F.struct(F.xxhash64("tid", F.lit(turn)).alias("h"), F.col("tid").alias("hub"), F.col(group).alias("hub_group"))).alias("m"))
+    pairs = met.join(one.select("c", "m.hub", "m.hub_group"), "c").filter(F.col(group) != F.col("hub_group"))
+    return pairs.select(F.least("tid", "hub").alias("a"), F.greatest("tid", "hub").alias("b")).distinct()
+
+
+def near_roots(met: DataFrame, texts: DataFrame, rows: DataFrame, least: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """components() over all pairs of `least` or more among texts that share a key: (node, root)."""
+    sizes = met.groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    big = sizes.filter(F.col("m") > bucket).select("c")
+    few = met.join(sizes.filter(F.col("m") <= bucket).select("c"), "c")
+    many = materialize(met.join(big, "c").withColumn("g", F.col("tid")), "many")
+    rest = many.count()
+    pairs = all_pairs(few, least).union(star_pairs(many, 0, "g")).distinct() if rest else all_pairs(few, least)
+    edges = materialize(verified(materialize(possible(pairs, texts, least), "pairs"), texts, rows, least), "near")
+    roots = components(edges)
+    for turn in range(1, ROUNDS + 1):
+        if not rest:
+            break
+        grouped = many.drop("g").join(roots.select(F.col("node").alias("tid"), F.col("root").alias("g")), "tid", "left").withColumn("g", F.coalesce("g", "tid"))
+        parts = grouped.groupBy("c", "g").agg(F.count(F.lit(1)).alias("m")).groupBy("c").agg(F.sum("m").alias("m"), F.sum(F.expr("m * m")).alias("q"))
+        open_ = parts.filter("m * m > q").withColumn("left", F.expr("(m * m - q) / 2"))
+        many = materialize(grouped.join(open_.select("c"), "c"), "many")
+        rest, left = many.count(), open_.agg(F.sum("left")).first()[0] or 0
+        last = turn == ROUNDS or left <= FEW * rest
+        if not rest:
+            break
+        pairs = all_pairs(many, least, "g") if last else star_pairs(many, turn, "g")
+        more = verified(materialize(possible(pairs, texts, least), "pairs"), texts, rows, least)
+        edges = materialize(edges.union(more), "near")
+        roots = components(edges)
+        if last:
+            break
+    return roots
 
 
 def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -121,9 +219,9 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     keyed = docs.withColumns({"_k": F.coalesce("doc_id", F.lit(-(2**63))), "_tid": F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = keyed.select(F.col("_k").alias("k"), F.col("_tid").alias("tid"), "text")
-    texts = materialize(classes(rows), "texts")
-    pairs = materialize(candidates(texts), "pairs")
-    roots = components(verified(pairs, texts, rows, least)).withColumnRenamed("node", "tid")
+    prefixes = materialize(keys(rows, least), "keys")
+    texts = materialize(prefixes.groupBy("tid").agg(F.min("k").alias("least"), F.first("n").alias("n"), F.first("par").alias("par")), "texts")
+    roots = near_roots(meetings(prefixes), texts, rows, least).withColumnRenamed("node", "tid")
     rooted = texts.select("tid", "least").join(roots, "tid", "left").withColumn("root", F.coalesce("root", "tid"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct("least", "tid")).alias("one"))
     firsts = materialize(firsts.select(F.col("one.least").alias("_k"), F.col("one.tid").alias("_tid")), "kept")
