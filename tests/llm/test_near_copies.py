@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from quakeloom.llm import near_copies as N
 
 
@@ -52,6 +54,20 @@ def test_large_group_around_a_base_in_the_middle(spark):
     assert len(want) < 10 and kept(spark, data) == want
 
 
+@pytest.mark.parametrize("repeats", [1, 4])
+def test_blocks_appended_cut_off_and_put_in(spark, repeats):
+    data = []
+    for g in range(60):
+        n = 100 + 20 * g
+        base = [f"b{g}_{i % (n // repeats)}_{i // (n // repeats) if i % 7 == 0 else 0}" for i in range(n)]
+        shingles = len(N.shingle_set(" ".join(base)))
+        new = [f"n{g}_{i}" for i in range(shingles // 4 - 4 - g % 3)]
+        for w in (base, base + new, base[: n // 2] + new + base[n // 2 :], base[: len(base) - n // 6]):
+            data.append((len(data), " ".join(w)))
+    want = kept_by_brute_force(data)
+    assert len(want) < len(data) / 2 and kept(spark, data) == want
+
+
 def test_prefixes_and_parities_lose_nothing(spark):
     r = random.Random(4)
     for n in (*range(1, 40), 97, 1000):
