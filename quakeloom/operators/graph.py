@@ -27,5 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if now == size:
             break
         size = now
+    else:
+        raise RuntimeError(f"connected_components: not settled after {max_rounds} rounds")
     roots = e.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.union(roots.select("root", "root").distinct())
