@@ -201,10 +201,11 @@ def cluster_diagnostics(df: DataFrame, label: str = "label") -> DataFrame:
     return g.drop("_X", "_Y", "_Z", "_all")
 
 
-def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label", silhouette_rows: int = 20_000) -> DataFrame:
+def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label", block: int = 4096) -> DataFrame:
     """One row: clusters, noise share, size statistics, Calinski-Harabasz and Davies-Bouldin index, and the silhouette.
 
-    The silhouette compares all pairs, so it is given for up to silhouette_rows clustered rows and null beyond.
+    The silhouette compares all pairs of clustered rows, at any size: rows are dealt to blocks of about `block` (8 blocks at
+    least), each pair of blocks is one key of a join, and the distances are added up by row and cluster.
     """
     c = df.filter(F.col(label) >= 0).select(F.col(label).alias("label"), *axes)
     g = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"m_{a}") for a in axes))
@@ -220,10 +221,11 @@ def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label
     worst = one.join(two, F.col("i_label") != F.col("j_label")).groupBy("i_label").agg(F.max((F.col("i_radius") + F.col("j_radius")) / gap).alias("w"))
     noise = df.agg(F.avg((F.col(label) < 0).cast("double")).alias("noise_ratio"))
     out = ch.crossJoin(worst.agg(F.avg("w").alias("davies_bouldin"))).crossJoin(noise)
-    if c.limit(silhouette_rows + 1).count() > silhouette_rows:
-        return out.withColumn("silhouette", F.lit(None).cast("double")).drop("rows")
-    i, j = (c.withColumn("r", F.monotonically_increasing_id()).select(*(F.col(x).alias(f"{p}_{x}") for x in ("r", "label", *axes))) for p in "ij")
-    pair = cut(i).crossJoin(F.broadcast(cut(j))).withColumn("d", F.sqrt(d2(axes)))
+    c = cut(c.withColumn("r", F.monotonically_increasing_id()))
+    blocks = max(8, -(-c.count() // block))
+    own_block, each = F.pmod(F.xxhash64("r"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
+    i, j = (c.select(*(F.col(x).alias(f"{p}_{x}") for x in ("r", "label", *axes)), own_block.alias(q), each.alias(o)) for p, q, o in ("ipq", "jqp"))
+    pair = i.join(j, ["p", "q"]).withColumn("d", F.sqrt(d2(axes)))
     mean = pair.groupBy("i_r", "i_label", "j_label").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n"))
     own = F.max(F.when(F.col("i_label") == F.col("j_label"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a")
     other = F.min(F.when(F.col("i_label") != F.col("j_label"), F.col("s") / F.col("n"))).alias("b")
