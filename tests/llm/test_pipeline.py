@@ -46,12 +46,12 @@ def test_near_copies_against_brute_force(spark):
     assert N.keep_one(df.limit(0)).count() == 0
 
 
-def test_prints_move_little():
+def test_fingerprints_move_little():
     w = [f"v{i}" for i in range(300)]
-    a, b = N.word_prints(" ".join(w)), N.word_prints(" ".join(w[:-6] + ["x"] * 6))
-    far = N.word_prints(" ".join(f"q{i}" for i in range(300)))
-    bits = lambda x, y: sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(x, y, strict=True))
-    assert bits(a, b) < N.MOST_BITS < bits(a, far)
+    a, b = (N.simhash(N.shingle_set(" ".join(x))) for x in (w, w[:-2] + ["x"] * 2))
+    far = N.simhash(N.shingle_set(" ".join(f"q{i}" for i in range(300))))
+    bits = lambda x, y: ((x ^ y) & (2**64 - 1)).bit_count()
+    assert bits(a, b) < 12 < bits(a, far)
 
 
 def test_stages_keep_what_they_should(spark, sf_dir):
