@@ -2,18 +2,21 @@
 
 Only the number of pieces of each length matters for a packing, so the search works on a histogram of at most
 `capacity` lengths, however many documents there are. It is a depth-first bin completion: take the largest
-length left, enumerate the undominated fillings of the rest of its sequence (a filling is dominated if another
-one covers it with fewer, larger pieces), apply one as often as the counts allow, and go on. Best-fit decreasing
-gives the first incumbent; a branch is cut when its bins so far plus the size bound of what is left, or its
-waste so far, cannot beat the incumbent. The plan (a list of fillings with their multiplicity) is then dealt to
-the pieces by their rank among equal lengths, which is found without gathering a length in one task.
+length left, enumerate the undominated fillings of the rest of its sequence (a filling is dominated if some of its
+pieces can give way to one larger piece), apply one as often as the counts allow, and go on. Best-fit decreasing
+gives the first incumbent; only fillings are listed whose waste can still beat the incumbent. The plan (a list of
+fillings with their multiplicity) is then dealt to the pieces by their rank among equal lengths, which is found
+without gathering a length in one task.
 """
 
 from __future__ import annotations
 
-import string
+import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -24,61 +27,91 @@ from pyspark.sql.window import Window
 from .common import materialize, table
 
 CAPACITY = 2048
-#: Entries of a tokenizing process's memory of words, which is emptied when full; texts whose words are looked up together.
-CACHE, GROUP = 500_000, 512
+#: Words and pieces in each of the two generations of a tokenizing process's memory; texts whose words are looked up together.
+CACHE, GROUP = 180_000, 512
+#: Runs of ASCII punctuation that stand between white space, letters and digits, and apart from apostrophes: pieces of
+#: their own, as are runs of ASCII letters and single digits.
+_APART = re.compile(r"([!-&(-/:-@\[-`{-~](?<![^ \t\n\r\x0b\x0c\w].)(?<!_.)[!-&(-/:-@\[-`{-~]*+)(?=[ \t\n\r\x0b\x0c]|[^\W_]|\Z)")
+#: Letters that become another letter, or more than one, in the context of a word or by themselves.
+_ODD = re.compile("[\u0130\u03a3]")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible character that stands for each byte in byte-level vocabularies: itself if it is a visible Latin-1
+    character, else the next one from U+0100 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 class _Words(dict):
-    """Token ids (little-endian unsigned 32-bit) of text without ASCII white space, remembered up to CACHE entries.
+    """Token ids (little-endian unsigned 32-bit) of text without ASCII white space. Of what is remembered, the entries used
+    since the last turn stay when the memory is full.
 
-    The vocabulary's pre-tokenizer drops white space and takes runs of letters apart from all else, and no token spans
-    two of its pieces. So a text's ids are those of its words in turn, a word's are those of its letters and of the
-    punctuation after them, and many runs of letters can be tokenized in one call: each ends with the only token that
-    closes a piece.
+    The vocabulary's pre-tokenizer drops white space and takes runs of letters, single digits and runs of all else apart,
+    and no token spans two of its pieces. So a text's ids are those of its pieces in turn. Unknown pieces are tokenized
+    together by the vocabulary's model alone: each ends with the only token that closes a piece. What isn't surely one or
+    more such pieces (with apostrophes, marks, symbols beyond ASCII) goes through the whole tokenizer, word by word.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.closes = np.zeros(size, bool)
         self.closes[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = [_byte_letters()[b] for b in range(256)]
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        found = self.ids(word)
+        found = self.older.get(word)
+        if found is None:
+            found = self.ids(word)
         if len(word) <= 64:
             self[word] = found
         return found
 
+    def split(self, text: str | None) -> list[str]:
+        """The text's words, lower-cased and apart from their punctuation where that is sure to give the same ids."""
+        if not text:
+            return []
+        if "|>" in text and any(t in text for t in self.added):
+            return [text]
+        plain = text.isascii()
+        if not plain and not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if plain or not _ODD.search(text):
+            text = _APART.sub(r" \1 ", text.lower())
+        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+
     def learn(self, words: set[str]) -> None:
         """Remember the ids of all short words among these."""
-        new = [w for w in words if w not in self and len(w) <= 64]
+        new = [w for w in words if w not in self]
         if len(self) + len(new) > CACHE:
+            self.older = dict(self)
             self.clear()
             self[""] = b""
-        found, cores = [], []
-        for w in new:
-            core = w.rstrip(string.punctuation)
-            if core.isalpha():
-                found.append(w)
-                cores.append(core.lower() if core.isascii() else core)
-        unknown = [c for c in set(cores) if c not in self]
-        if unknown:
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, "<u4")
+            new = words
+        older = self.older
+        self.update({w: older[w] for w in new if w in older})
+        plain = [w for w in new if w not in self and len(w) <= 64 and w.isalpha() and w.islower()]
+        if plain:
+            shown = (w if w.isascii() else "".join(map(self.letters.__getitem__, w.encode())) for w in plain)
+            ids = np.asarray(self.model.encode_batch_fast([" ".join(shown)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(unknown):
+            if len(ends) == len(plain):
                 raw, ends = ids.tobytes(), (4 * ends).tolist()
-                self.update(zip(unknown, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
-            else:  # some run of letters is more than one piece
-                self.update((c, self.ids(c)) for c in unknown)
-        for w, core in zip(found, cores, strict=True):
-            if w not in self:
-                self[w] = self[core] if len(w) == len(core) else self[core] + self[w[len(core) :]]
+                self.update(zip(plain, (raw[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
+            else:  # some word is more than one piece
+                self.update((w, self.ids(w)) for w in plain)
 
 
 #: The words of this process, by vocabulary file; a worker keeps them from task to task.
@@ -87,7 +120,7 @@ _KNOWN: dict[str, _Words] = {}
 
 def token_bytes(words: _Words, texts: list[str | None], end: bytes) -> Iterator[bytes]:
     """Ids of each whole text and the end id."""
-    parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+    parts = [*map(words.split, texts)]
     words.learn(set().union(*parts))
     for p in parts:
         yield b"".join(map(words.__getitem__, p)) + end
@@ -171,147 +204,119 @@ def size_bound(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> int:
     return max(best, int(c[s > capacity // 2].sum()))
 
 
-def fillings(rest: int, sizes: list[int], counts: dict[int, int], most: int) -> list[tuple]:
-    """Undominated fillings of `rest` from the lengths on hand, fullest first: none that another covers with fewer,
-    larger pieces. A single piece that fits exactly dominates all; else the largest single, then for each first piece
-    the largest partner or pair of partners that fits."""
-    import bisect
-
-    top = bisect.bisect_right(sizes, rest)
-    if not top:
-        return [()]
-    if sizes[top - 1] == rest:
-        return [(rest,)]
-    found = {(sizes[top - 1],): sizes[top - 1]}
-    full = sizes[top - 1]
-    for a in reversed(sizes[:top]):
-        left = rest - a
-        i = bisect.bisect_right(sizes, left) - 1
-        if i < 0:
-            continue
-        b = sizes[i]
-        if b > a:
-            continue
-        if b == a and counts[a] < 2:
-            i -= 1
-            if i < 0:
-                continue
-            b = sizes[i]
-        if a + b > full:
-            found[(a, b)] = a + b
-        if a + b == rest:
-            break
-        if len(found) > 8 * most:
-            break
-    best = max(found.values())
-    if best < rest:
-        for f in sorted(found, key=found.get, reverse=True)[:most]:
-            if len(f) != 2:
+class _Steps:
+    """Steps of a search that are left."""
+
+    def __init__(self, left: int):
+        self.left = left
+
+    def take(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def dominated(filling: tuple, rest: int, sizes: list[int], free: dict[int, int]) -> bool:
+    """Whether some pieces of a filling could give way to one larger free piece, or to one of their joint length, and the
+    filling still fits: what is left over then packs no worse. Of long fillings only sets of up to two pieces are tried."""
+    room = rest - sum(filling)
+    tried = set()
+    for n in range(len(filling) + 1 if len(filling) <= 10 else 3):
+        for part in combinations(filling, n):
+            if part in tried:
                 continue
-            for b in reversed(sizes[: bisect.bisect_right(sizes, min(f[1], (rest - f[0])))]):
-                i = bisect.bisect_right(sizes, rest - f[0] - b) - 1
-                if i < 0:
-                    continue
-                c = min(sizes[i], b)
-                need = {x: (f[0], b, c).count(x) for x in (f[0], b, c)}
-                if c in counts and all(counts[x] >= n for x, n in need.items()) and f[0] + b + c > best:
-                    found[(f[0], b, c)] = best = f[0] + b + c
-                if best == rest or b < rest // 64:
-                    break
-            if best == rest:
-                break
-    while best < rest:  # many small pieces: extend the fullest by what still fits
-        f = max(found, key=found.get)
-        i = bisect.bisect_right(sizes, rest - found[f]) - 1
-        while i >= 0 and f.count(sizes[i]) >= counts[sizes[i]]:
-            i -= 1
-        if i < 0:
-            break
-        found[(*f, sizes[i])] = best = found[f] + sizes[i]
-    return sorted(found, key=lambda f: (-found[f], len(f), tuple(-x for x in f)))[:most]
-
-
-def bin_completion(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 40_000, most: int = 4) -> list[tuple[tuple, int]]:
-    """The best plan found within `nodes` steps of the search: [(((length, pieces), ...), bins), ...].
-
-    The search is complete (and the plan optimal) if it ends before that bound; the size bound proves it otherwise
-    whenever the two meet.
+            tried.add(part)
+            low = sum(part)
+            i = bisect.bisect_left(sizes, low + (n < 2))
+            while i < len(sizes) and sizes[i] <= low + room:
+                if free[sizes[i]] > filling.count(sizes[i]):
+                    return True
+                i += 1
+    return False
+
+
+def fillings(rest: int, sizes: list[int], free: dict[int, int], waste: int, steps: _Steps) -> Iterator[tuple]:
+    """The undominated fillings of `rest` that waste `waste` at most, fullest first, while steps are left.
+
+    sizes: lengths on hand, ascending; free: pieces of each.
     """
-    import bisect
+    below = [0]
+    for x in sizes:
+        below.append(below[-1] + x * free[x])
+    for total in range(rest, max(0, rest - waste) - 1, -1):
+        # exact sums by depth-first search, larger pieces first: (lengths still allowed, sum to reach, pieces so far)
+        stack = [(bisect.bisect_right(sizes, total), total, ())]
+        while stack:
+            if not steps.take():
+                return
+            top, need, found = stack.pop()
+            if not need:
+                if not dominated(found, rest, sizes, free):
+                    yield found
+                continue
+            top = min(top, bisect.bisect_right(sizes, need))
+            if below[top] < need or not top:
+                continue
+            x = sizes[top - 1]
+            stack.append((top - 1, need, found))
+            stack += [(top - 1, need - n * x, found + (x,) * n) for n in range(1, min(free[x], need // x) + 1)]
+
 
+def bin_completion(sizes: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, nodes: int = 200_000) -> tuple[list[tuple[tuple, int]], bool]:
+    """The best plan found within `nodes` steps of the search, [(((length, pieces), ...), bins), ...], and whether it is
+    known to be the best: because it meets the size bound, or because the search ended by itself.
+
+    At a node the largest length left is completed by each undominated filling, as often as the counts allow and then ever
+    fewer times; a filling that was tried isn't used again for that length below the node, as those plans were seen.
+    """
     incumbent = best_fit(sizes, counts, capacity)
     least, bins = size_bound(sizes, counts, capacity), sum(n for _, n in incumbent)
     if bins <= least:
-        return incumbent
-    total = int((sizes.astype(np.int64) * counts.astype(np.int64)).sum())
+        return incumbent, True
+    total = sum_left = int((sizes.astype(np.int64) * counts.astype(np.int64)).sum())
     left = {int(s): int(c) for s, c in zip(sizes, counts, strict=True) if c}
-    order = sorted(left)
-    sum_left, used, steps = total, 0, 0
-    trail: list = []  # (filling, times, alternatives not yet tried)
+    order, used, steps = sorted(left), 0, _Steps(nodes)
 
-    def take(filling: tuple, times: int) -> None:
+    def move(filling: tuple, times: int) -> None:
+        """Pack pieces, or with negative times take them back."""
         nonlocal sum_left, used
         used += times
         for x in filling:
+            if x not in left:
+                left[x] = 0
+                bisect.insort(order, x)
             left[x] -= times
             sum_left -= x * times
             if not left[x]:
                 del left[x]
                 order.pop(bisect.bisect_left(order, x))
 
-    def give(filling: tuple, times: int) -> None:
-        nonlocal sum_left, used
-        used -= times
-        for x in filling:
-            if x not in left:
-                left[x] = 0
-                bisect.insort(order, x)
-            left[x] += times
-            sum_left += x * times
-
-    def options() -> list[tuple]:
+    def node(above: dict | None) -> dict:
         big = order[-1]
-        left[big] -= 1
-        if not left[big]:
-            del left[big]
-            order.pop()
-        out = [(big, *f) for f in fillings(capacity - big, order, left, most)]
-        if big not in left:
-            left[big] = 0
-            order.append(big)
-        left[big] += 1
-        return out
-
-    def times(f: tuple) -> int:
-        return min(left[x] // f.count(x) for x in set(f))
-
-    while steps < nodes:
-        while order and used + -(-sum_left // capacity) < bins and steps < nodes:
-            steps += 1
-            first, *rest = options()
-            n = times(first)
-            take(first, n)
-            trail.append((first, n, rest))
-        if not order and used < bins:
-            bins, incumbent = used, [(tuple((x, f.count(x)) for x in dict.fromkeys(f)), n) for f, n, _ in trail]
-            if bins <= least:
-                break
-        while trail:
-            f, n, rest = trail.pop()
-            give(f, n)
-            if n > 1 and rest:  # fewer of the same filling, then another one
-                take(f, n - 1)
-                trail.append((f, n - 1, []))
-                n = 1
-            if rest:
-                m = max(1, times(rest[0]))
-                take(rest[0], m)
-                trail.append((rest[0], m, rest[1:]))
-                break
-        if not trail:
-            break
-        steps += 1
-    return incumbent
+        free = dict(left)
+        free[big] -= 1
+        waste = (bins - 1) * capacity - total - (used * capacity - (total - sum_left))
+        seen = set(above["seen"]) if above and above["big"] == big else set()
+        return {"big": big, "more": fillings(capacity - big, [x for x in order if free[x]], free, waste, steps) if waste >= 0 else iter(()), "seen": seen, "now": None, "times": 0}
+
+    trail = [node(None)]
+    while trail and bins > least:
+        at = trail[-1]
+        if at["times"]:
+            move(at["now"], -at["times"])
+            at["times"] -= 1
+        if not at["times"]:
+            at["now"] = next((f for f in ((at["big"], *f) for f in at["more"]) if f not in at["seen"]), None)
+            if at["now"] is None:
+                trail.pop()
+                continue
+            at["seen"].add(at["now"])
+            at["times"] = min(left[x] // at["now"].count(x) for x in set(at["now"]))
+        move(at["now"], at["times"])
+        if order:
+            trail.append(node(at))
+        elif used < bins:
+            bins, incumbent = used, [(tuple((x, n["now"].count(x)) for x in dict.fromkeys(n["now"])), n["times"]) for n in trail]
+    return incumbent, bins <= least or steps.left >= 0
 
 
 def slots(plan: list[tuple[tuple, int]]) -> pd.DataFrame:
@@ -330,7 +335,8 @@ def slots(plan: list[tuple[tuple, int]]) -> pd.DataFrame:
 
 def ranked(pieces: DataFrame, salts: int = 256) -> DataFrame:
     """pieces with `rank`, 0, 1, ... among those of equal length, by salt and then doc_id and piece. No length is
-    gathered in one task: ranks within a salt are shifted by the counts of the salts before it."""
+    gathered in one task: ranks within a salt are shifted by the counts of the salts before it. The more salts, the smaller
+    are the groups of a length and salt."""
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     sums = salted.groupBy("length", "salt").count()
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -366,7 +372,8 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """
     pieces = materialize(cut(docs, tokenizer_path, capacity, end_id), "pieces")
     histogram = np.array([tuple(r) for r in pieces.groupBy("length").count().collect()], np.int64).reshape(-1, 2)  # at most `capacity` rows
-    return place(ranked(pieces), bin_completion(histogram[:, 0], histogram[:, 1], capacity))
+    salts = max(256, int(histogram[:, 1].max(initial=0)) >> 16)  # some 65536 pieces of a length and salt
+    return place(ranked(pieces, salts), bin_completion(histogram[:, 0], histogram[:, 1], capacity)[0])
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

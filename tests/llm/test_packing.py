@@ -49,14 +49,33 @@ def test_small_cases_are_optimal_or_near(items):
     s, c = np.unique(items, return_counts=True)
     assert P.size_bound(s, c, 20) <= optimum(items, 20)
     check_plan(P.best_fit(s, c, 20), items, 20)
-    assert check_plan(P.bin_completion(s, c, 20), items, 20) == optimum(items, 20)
+    plan, known = P.bin_completion(s, c, 20)
+    assert known and check_plan(plan, items, 20) == optimum(items, 20)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(8, 60), min_size=6, max_size=14))
+def test_completed_search_is_optimal(items):
+    s, c = np.unique(items, return_counts=True)
+    plan, known = P.bin_completion(s, c, 100)
+    assert known and check_plan(plan, items, 100) == optimum(items, 100)
+
+
+def test_search_beats_best_fit():
+    items = [59, 43, 15, 27, 39, 31, 37, 46, 11, 58, 32]
+    s, c = np.unique(items, return_counts=True)
+    plan, known = P.bin_completion(s, c, 100)
+    assert known and check_plan(plan, items, 100) == 4 < check_plan(P.best_fit(s, c, 100), items, 100)
+    plan, known = P.bin_completion(np.array([*s, 1000]), np.array([*c, 0]), 100, nodes=3)
+    assert not known and check_plan(plan, items, 100) == 5
 
 
 def test_large_histogram_meets_the_bound():
     g = np.random.default_rng(1)
     items = np.minimum(2048, g.lognormal(6, 1, 20000).astype(int) + 1)
     s, c = np.unique(items, return_counts=True)
-    plan = P.bin_completion(s, c)
+    plan, known = P.bin_completion(s, c)
+    assert known
     assert sum(n for _, n in plan) <= P.size_bound(s, c, 2048) + 2
     assert len(P.slots(plan)) < 40_000
 
@@ -80,6 +99,20 @@ def test_query_against_a_plain_run(spark):
         assert list(g["offset"]) == [0, *itertools.accumulate(g["length"])][:-1] and g["length"].sum() <= 2048
 
 
+def test_ids_of_odd_texts():
+    """Marks, ligatures, letters with a longer lower case and added tokens next to punctuation, by the whole tokenizer."""
+    import random
+
+    import public_tokenizers
+
+    words = P._Words(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(2)
+    parts = [*"abXYZsé Ñ  İıßΣσς'’\"!-.,0129\n\t\x0b\x0c\x85\u2028\u0338\u0301\u0307日한ﬁ가ÅÅ\x00|>≠ǅⅷ²½_*%", "\u1100\u1161", "'s", "'ll", "don't", "<|endoftext|>", "</w>"]
+    texts = ["Bİ!", "İ-", "x" * 100, "don't.'s", *("".join(r.choices(parts, k=r.randrange(30))) for _ in range(6000))]
+    got = [x for i in range(0, len(texts), 512) for x in P.token_bytes(words, texts[i : i + 512], b"")]
+    assert got == [*map(words.ids, texts)]
+
+
 def test_empty(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
