@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +50,9 @@ _BASE = 0xD6E8FEB86659FD93
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Whether each code point belongs to words, and the powers of _BASE and of its inverse modulo 2 ** 64."""
     inside = np.zeros(0x110000, bool)
-    for m in WORD.finditer("".join(map(chr, range(0x110000)))):
-        inside[m.start() : m.end()] = True
+    for at in range(0, 0x110000, 4096):
+        for m in WORD.finditer("".join(map(chr, range(at, at + 4096)))):
+            inside[at + m.start() : at + m.end()] = True
     powers = (np.cumprod(np.append(np.uint64(1), np.full(CHUNK, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64)))
     return inside, *powers
 
@@ -93,6 +95,19 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return x[np.append(True, x[1:] != x[:-1])]
 
 
+def shingled(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches with the shingle sets of their column text; few texts at a time are taken out of Arrow."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield part, [shingle_set(t.as_py()) for t in part.column("text")]
+
+
+def lists(sets: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, sets)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
+
+
 def simhash(s: np.ndarray) -> int:
     """SimHash (signed) of a set of shingle hashes."""
     return int(np.packbits(2 * majority(s.view(np.uint64)) > len(s), bitorder="little").view("<i8")[0]) if len(s) else 0
@@ -117,12 +132,11 @@ def short_length(n: int, least: float) -> int:
 def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles of a sample of the texts, sorted, and in how many of them each occurs. They only set the order of keys."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                yield pd.DataFrame({"s": np.concatenate([shingle_set(t) for t in pdf["text"].iloc[at : at + 64]])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in shingled(batches):
+            yield pa.RecordBatch.from_pydict({"s": np.concatenate(found)})
 
-    some = rows.filter(F.pmod(F.xxhash64("own", F.lit(1)), F.lit(SAMPLE)) == 0).select("text").mapInPandas(run, "s long")
+    some = rows.filter(F.pmod(F.xxhash64("own", F.lit(1)), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "s long")
     found = some.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(LISTED).toArrow()
     s, n = found["s"].to_numpy(), found["n"].to_numpy()
     order = np.argsort(s)
@@ -142,15 +156,13 @@ def keys(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
             weight = np.where(often[at] == s, count[at], 0)
         return s[np.lexsort((s, weight))][: prefix_length(len(s), least)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                sets = [shingle_set(t) for t in part["text"]]
-                own, n = part["own"].to_numpy(np.int64), np.array([len(s) for s in sets])
-                yield pd.DataFrame({"k": part["k"].to_numpy(), "own": own, "tid": np.where(n > 0, own, 0), "n": n, "fp": [simhash(s) for s in sets], "par": [parities(s).tobytes() for s in sets], "keys": [prefix(s) for s in sets]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in shingled(batches):
+            own, n = part.column("own").to_numpy(), np.array([len(s) for s in found], np.int32)
+            cols = {"k": part.column("k"), "own": own, "tid": np.where(n > 0, own, 0), "n": n, "fp": np.array([simhash(s) for s in found], np.int64)}
+            yield pa.RecordBatch.from_pydict(cols | {"par": pa.array([parities(s).tobytes() for s in found], pa.binary()), "keys": lists([prefix(s) for s in found])})
 
-    return rows.select("k", "own", "text").mapInPandas(run, "k long, own long, tid long, n int, fp long, par binary, keys array<long>")
+    return rows.select("k", "own", "text").mapInArrow(run, "k long, own long, tid long, n int, fp long, par binary, keys array<long>")
 
 
 def meetings(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -299,13 +311,11 @@ def sets(ids: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
     """(tid, s): the shingle sets of the texts named in ids (tid), each from its first document."""
     wanted = materialize(texts.join(ids.distinct(), "tid").select("tid", F.col("first.k").alias("k"), F.col("first.own").alias("own")), "wanted")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                part = pdf.iloc[at : at + 64]
-                yield pd.DataFrame({"tid": part["tid"].to_numpy(), "s": [shingle_set(t) for t in part["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found in shingled(batches):
+            yield pa.RecordBatch.from_pydict({"tid": part.column("tid"), "s": lists(found)})
 
-    found = rows.filter(KeyFilter(wanted, ["k", "own"]).may_hold()).join(wanted, ["k", "own"]).select("tid", "text").mapInPandas(run, "tid long, s array<long>")
+    found = rows.filter(KeyFilter(wanted, ["k", "own"]).may_hold()).join(wanted, ["k", "own"]).select("tid", "text").mapInArrow(run, "tid long, s array<long>")
     return materialize(found.dropDuplicates(["tid"]), "shingles")
 
 

@@ -145,6 +145,7 @@ def cut(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPA
                 rows += [(doc_id, at // wide, at // 4, min(wide, len(ids) - at) // 4, zlib.crc32(ids[at : at + wide])) for at in range(0, len(ids), wide)]
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        words.older = {}  # the process may go on with other work
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
