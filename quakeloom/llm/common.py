@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -19,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a temporary one, which becomes the session's checkpoint folder."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, the session's checkpoint
+    folder, or on one machine (as in tests) a new temporary one; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         base = spark.sparkContext.getCheckpointDir()
         if base is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: no folder is known that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
             base = spark.sparkContext.getCheckpointDir()
     return base
@@ -34,9 +40,32 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
+#: Paths of the tables written inside the scratch() blocks that are open, innermost last.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at the end of the block, the tables that materialize() wrote in it without keep."""
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors. In a scratch()
+    block the table lives until the block's end, or with keep as long as one outside."""
+    path, blocks = new_path(df.sparkSession, name), _SCRATCH.get()
+    if keep:
+        blocks = blocks[:-1]
+    if blocks:
+        blocks[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, join_heavy, materialize
+from .common import KeyFilter, join_heavy, materialize, scratch
 from .components import components
 from .simhash_dedup import close_pairs, majority
 
@@ -166,14 +166,13 @@ def keys(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 
 def meetings(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(c, m, tid, n, pos, short, par): keys that pairs may share, with each of the key's m texts; pos is the key's place
+    """(c, m, tid, n, pos, short): keys that pairs may share, with each of the key's m texts; pos is the key's place
     there and short says that it is among the first that a larger set would share. texts: one row per text of keys()."""
     short = F.col("pos") < F.expr(f"n - ceil({2 * least / (1 + least)!r}D * n - 1e-9D) + 1")
     flat = texts.select("tid", "n", F.posexplode("keys").alias("pos", "c")).withColumn("short", short)
     shared = flat.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("c", "m")
     shared = materialize(shared, "shared")
-    met = join_heavy(flat.filter(KeyFilter(shared, ["c"]).may_hold()), shared, "c", "m")
-    return materialize(met.join(texts.select("tid", "par"), "tid"), "meetings")
+    return materialize(join_heavy(flat.filter(KeyFilter(shared, ["c"]).may_hold()), shared, "c", "m"), "meetings")
 
 
 class Members:
@@ -226,7 +225,7 @@ def lags(pdf: pd.DataFrame, names: list[str]) -> Iterator[tuple[np.ndarray, int]
         lag += 1
 
 
-def likeliest(met: DataFrame, least: float) -> DataFrame:
+def likeliest(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): each text of a block with the partner that its parities leave most room for. Keys of over BLOCK texts are
     dealt into blocks, each key in its own way."""
 
@@ -244,6 +243,7 @@ def likeliest(met: DataFrame, least: float) -> DataFrame:
             yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
     dealt = met.withColumn("block", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("tid", "c"), F.ceil(F.col("m") / BLOCK))).otherwise(F.lit(0)))
+    dealt = dealt.join(texts.select("tid", "par"), "tid")
     return dealt.repartition("c", "block").sortWithinPartitions("c", "block").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -256,7 +256,7 @@ def open_meetings(met: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(join_heavy(grouped.drop("m"), top, "c", "m").withColumn("major", F.expr("g = top")).drop("top"), "open")
 
 
-def listed(met: DataFrame, least: float) -> DataFrame:
+def listed(met: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b): all pairs of different groups in a key that may be near; for keys of few texts."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,18 +268,18 @@ def listed(met: DataFrame, least: float) -> DataFrame:
                     a, b = x.tid[i], x.tid[i + lag]
                     yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return met.repartition("c").sortWithinPartitions("c").mapInPandas(run, "a long, b long").distinct()
+    return met.join(texts.select("tid", "par"), "tid").repartition("c").sortWithinPartitions("c").mapInPandas(run, "a long, b long").distinct()
 
 
 def blocks_against(met: DataFrame, texts: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) that unite all near pairs of different groups in keys of many texts: the texts outside a key's largest
     group, in blocks, against all texts of the key, in blocks. A pair is compared unless its block has united it."""
-    light = met.select("c", "tid", "n", "pos", "short", "par", "g", "major", F.ceil(F.col("m") / BLOCK).alias("nb"), F.ceil((F.col("m") - F.col("own")) / BLOCK).alias("nm"))
+    light = met.select("c", "tid", "n", "pos", "short", "g", "major", F.ceil(F.col("m") / BLOCK).alias("nb"), F.ceil((F.col("m") - F.col("own")) / BLOCK).alias("nm"))
     at = lambda salt, n: F.pmod(F.xxhash64("tid", "c", F.lit(salt)), F.col(n))
     minor = light.filter("NOT major").withColumn("i", at(1, "nm")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     every = light.withColumn("j", at(2, "nb")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nm") - 1)))
     both = minor.withColumn("probe", F.lit(True)).unionByName(every.withColumn("probe", F.lit(False)))
-    whole = sets(met.select("tid"), texts, rows)
+    whole = sets(met.select("tid"), texts, rows).join(texts.select("tid", "par"), "tid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in whole_blocks(batches, ["c", "i", "j"]):
@@ -345,10 +345,10 @@ def chained(texts: DataFrame) -> DataFrame:
 def near_roots(texts: DataFrame, rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """components() over all pairs of texts of Jaccard index `least` or more: (node, root)."""
     met = meetings(texts, least)
-    pairs = materialize(chained(texts).union(likeliest(met, least)).distinct(), "pairs")
+    pairs = materialize(chained(texts).union(likeliest(met, texts, least)).distinct(), "pairs")
     roots = components(materialize(verified(pairs, texts, rows, least), "near"))
     left = open_meetings(met, roots)
-    pairs = materialize(listed(left.filter(F.col("m") <= FEW), least), "pairs")
+    pairs = materialize(listed(left.filter(F.col("m") <= FEW), texts, least), "pairs")
     more = [verified(pairs, texts, rows, least)] if pairs.count() else []
     many = left.filter(F.col("m") > FEW)
     if not many.isEmpty():
@@ -369,13 +369,15 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     keyed = docs.select(F.struct("*").alias("doc"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"))
     rows = keyed.select("k", "own", "doc.text")
-    every = materialize(keys(rows, least), "keys")
-    texts = every.groupBy("tid").agg(F.min(F.struct("k", "own")).alias("first"), *(F.first(x).alias(x) for x in ("n", "fp", "par", "keys")))
-    texts = materialize(texts, "texts")
-    roots = near_roots(texts.filter("n > 0"), rows, least)
-    rooted = texts.select("tid", "first").join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k", "first.own")
-    counted = materialize(every.groupBy("k", "own").agg(F.count(F.lit(1)).alias("rows")).join(firsts.withColumn("stays", F.lit(True)), ["k", "own"], "left"), "judged")
+    with scratch(docs.sparkSession):
+        every = materialize(keys(rows, least), "keys")
+        texts = every.groupBy("tid").agg(F.min(F.struct("k", "own")).alias("first"), *(F.first(x).alias(x) for x in ("n", "fp", "par", "keys")))
+        texts = materialize(texts, "texts")
+        roots = near_roots(texts.filter("n > 0"), rows, least)
+        rooted = texts.select("tid", "first").join(roots.withColumnRenamed("node", "tid"), "tid", "left").withColumn("root", F.coalesce("root", "tid"))
+        firsts = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.k", "first.own")
+        counted = every.groupBy("k", "own").agg(F.count(F.lit(1)).alias("rows")).join(firsts.withColumn("stays", F.lit(True)), ["k", "own"], "left")
+        counted = materialize(counted.filter("stays IS NULL OR rows > 1"), "judged", keep=True)
     gone = counted.filter("stays IS NULL").select("k", "own")
     maybe = KeyFilter(gone, ["k", "own"]).may_hold()
     kept = keyed.filter(~maybe).unionByName(keyed.filter(maybe).join(gone, ["k", "own"], "left_anti"))
