@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, join_heavy, materialize, table
+from .common import KeyFilter, join_heavy, materialize, scratch, table
 
 #: Bytes of a repeated string, and of the k-grams that serve as anchors, level by level.
 LENGTH, GRAMS = 200, (40, 150, 185)
@@ -183,11 +183,11 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, grams: tuple[int, .
     twice = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
     if not longer:
         return join_heavy(rows, materialize(twice, "repeated"), "anchor", "uses").selectExpr("k", "t", "first", "first + span AS last")
-    live = materialize(rows.join(twice.select("anchor"), "anchor"), f"live{gram}")
+    live = materialize(join_heavy(rows, materialize(twice, f"twice{gram}"), "anchor", "uses").drop("uses"), f"live{gram}")
     kinds = live.groupBy("anchor", "b").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("k", "t", "first", "span")).alias("one"))
     kinds = materialize(kinds, f"kinds{gram}")
-    mixed = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
-    marks = kinds.join(mixed, "anchor").select("one.k", "one.t", F.struct("one.first", "one.span", "anchor", "b").alias("mark"))
+    mixed = materialize(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), f"mixed{gram}")
+    marks = join_heavy(kinds, mixed, "anchor", "n").select("one.k", "one.t", F.struct("one.first", "one.span", "anchor", "b").alias("mark"))
     marks = materialize(marks.groupBy("k", "t").agg(F.collect_list("mark").alias("marks")), f"marks{gram}")
     inner = repeated_windows(materialize(_contents(texts, marks, length), f"contents{gram}"), length, tuple(longer))
     # a kind's repeated windows: all of them (null), or the ranges found inside, of which there are fewer than `length`
@@ -201,8 +201,10 @@ def repeated_windows(texts: DataFrame, length: int = LENGTH, grams: tuple[int, .
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(k, t, ranges): the byte ranges of each text that repeated strings cover, as a set; texts without any are absent."""
-    found = repeated_windows(texts, length, tuple(g for g in GRAMS if g < length) + (length,))
-    return materialize(found.groupBy("k", "t").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("ranges")), "ranges")
+    with scratch(texts.sparkSession):
+        found = repeated_windows(texts, length, tuple(g for g in GRAMS if g < length) + (length,))
+        ranges = found.groupBy("k", "t").agg(F.collect_set(F.struct(F.col("first").alias("s"), (F.col("last") + length).alias("e"))).alias("ranges"))
+        return materialize(ranges, "ranges", keep=True)
 
 
 def _with_ranges(texts: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
