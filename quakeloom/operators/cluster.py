@@ -49,7 +49,7 @@ def dbscan(points: DataFrame, axes: tuple[str, ...], eps: float, min_samples: in
     edges = grid_pairs(core, core.select(key, *axes, *on, "_node"), axes, eps, on).filter(F.col("i__node") < F.col("j__node")).filter(near)
     roots = connected_components(edges.select(F.col("i__node").alias("a"), F.col("j__node").alias("b")).distinct()).withColumnRenamed("node", "_node")
     core = core.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
-    core = cut(core.join(F.broadcast(_number(core, on)), ["root", *on]).drop("root"))
+    core = cut(core.join(_number(core, on), ["root", *on]).drop("root"))
     rest = few.join(core.select(key), key, "left_anti").select(key, *axes, *on)
     border = grid_pairs(rest, core, axes, eps, on).filter(near).groupBy(F.col(f"i_{key}").alias(key)).agg(F.min("j_label").alias("label"))
     others = rest.join(border, key, "left").select(key, *on, F.coalesce("label", F.lit(-1)).alias("label"), F.lit(False).alias("core"))
@@ -95,13 +95,13 @@ def time_windows(cat: DataFrame, days: float, key: str = "ID") -> DataFrame:
 def small_to_noise(labels: DataFrame, least: int, label: str = "label") -> DataFrame:
     """Clusters of fewer than `least` rows become noise."""
     n = labels.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    return labels.join(F.broadcast(n), label).withColumn(label, F.when(F.col("_n") < least, -1).otherwise(F.col(label))).drop("_n")
+    return labels.join(n, label).withColumn(label, F.when(F.col("_n") < least, -1).otherwise(F.col(label))).drop("_n")
 
 
 def drop_small_clusters(df: DataFrame, key: str, min_events: int = 10) -> DataFrame:
     """The cluster id becomes null where fewer than min_events rows have it."""
     n = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") < min_events).select(key, F.lit(True).alias("_small"))
-    return df.join(F.broadcast(n), key, "left").withColumn(key, F.when(F.col("_small").isNull(), F.col(key))).drop("_small")
+    return df.join(n, key, "left").withColumn(key, F.when(F.col("_small").isNull(), F.col(key))).drop("_small")
 
 
 def _ratio(*c: pd.Series) -> pd.Series:
@@ -127,7 +127,7 @@ def aspect_ratios(df: DataFrame, axes: tuple[str, ...], label: str = "label") ->
 def aspect_filter(df: DataFrame, axes: tuple[str, ...], min_ratio: float = 1.5, label: str = "label") -> DataFrame:
     """Clusters with a smaller aspect ratio become noise."""
     ratio = aspect_ratios(df, axes, label).select(label, "aspect_ratio")
-    return df.join(F.broadcast(ratio), label, "left").withColumn(label, F.when(F.col("aspect_ratio") >= min_ratio, F.col(label)).otherwise(-1)).drop("aspect_ratio")
+    return df.join(ratio, label, "left").withColumn(label, F.when(F.col("aspect_ratio") >= min_ratio, F.col(label)).otherwise(-1)).drop("aspect_ratio")
 
 
 def segment(cat: DataFrame, steps: list[dict], final: str = "keep", key: str = "ID", max_outlier_ratio: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +148,7 @@ def segment(cat: DataFrame, steps: list[dict], final: str = "keep", key: str = "
         level, axes = chr(ord("A") + i), tuple(s.get("axes", "XYZ"))
         found = small_to_noise(dbscan(left, axes, s["eps"], s["min_samples"], key).select(key, "label"), size)
         named = found.filter("label >= 0").select("label").distinct().withColumn("_r", F.row_number().over(Window.orderBy("label")))
-        found = cut(found.join(F.broadcast(named), "label", "left").select(key, F.concat(F.lit(level), F.col("_r").cast("string")).alias("sequence_label")))
+        found = cut(found.join(named, "label", "left").select(key, F.concat(F.lit(level), F.col("_r").cast("string")).alias("sequence_label")))
         kept, rest = found.filter("sequence_label IS NOT NULL"), found.filter("sequence_label IS NULL").select(key)
         outliers = rest.count()
         ratio = outliers / n
@@ -210,7 +210,7 @@ def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label
     c = df.filter(F.col(label) >= 0).select(F.col(label).alias("label"), *axes)
     g = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"m_{a}") for a in axes))
     whole = c.agg(F.count(F.lit(1)).alias("rows"), *(F.avg(a).alias(f"w_{a}") for a in axes))
-    d = c.join(F.broadcast(g), "label").crossJoin(F.broadcast(whole))
+    d = c.join(g, "label").crossJoin(F.broadcast(whole))
     sq = lambda p, q: sum(((F.col(f"{p}{a}") - F.col(f"{q}{a}")) * (F.col(f"{p}{a}") - F.col(f"{q}{a}")) for a in axes), F.lit(0.0))
     spread = d.groupBy("label").agg(F.sum(sq("", "m_")).alias("within"), F.avg(F.sqrt(sq("", "m_"))).alias("radius"), F.first(F.col("n") * sq("m_", "w_")).alias("between"))
     s = g.join(spread, "label")
@@ -258,7 +258,7 @@ def density_ladder(points: DataFrame, axes: tuple[str, ...], levels: list[float]
     for eps in levels:
         roots = connected_components(edges.filter(F.col("w") <= eps).select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("node", key)
         live = core.filter(F.col("core") <= eps).select(key).join(roots, key, "left").withColumn("root", F.coalesce("root", key))
-        lab = p.select(key).join(live.join(F.broadcast(_number(live, ())), "root").select(key, "label"), key, "left").select(key, F.lit(float(eps)).alias("eps"), F.coalesce("label", F.lit(-1)).alias("label"))
+        lab = p.select(key).join(live.join(_number(live, ()), "root").select(key, "label"), key, "left").select(key, F.lit(float(eps)).alias("eps"), F.coalesce("label", F.lit(-1)).alias("label"))
         out = lab if out is None else out.union(lab)
     return out
 

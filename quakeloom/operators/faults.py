@@ -20,7 +20,7 @@ NORMAL = ("normal_vector_x", "normal_vector_y", "normal_vector_z")
 def fault_ids(events: DataFrame, by: tuple[str, ...] = ("sequence_label", "cluster")) -> DataFrame:
     """events with fault_id: F0001, ... by sequence and cluster, without gaps; null where a key is."""
     keys = events.select(*by).dropna().distinct().withColumn("fault_id", F.format_string("F%04d", F.row_number().over(Window.orderBy(*by))))
-    return events.join(F.broadcast(keys), list(by), "left")
+    return events.join(keys, list(by), "left")
 
 
 def fault_metadata(events: DataFrame) -> DataFrame:
@@ -129,6 +129,6 @@ def patches(points: DataFrame, orientation: DataFrame, by: str = "fault_id", law
     n = plane_normal(F.col("rupture_mean_azimuth"), F.col("rupture_mean_dip"))
     u, v = disc_axes(n)
     on = lambda a: sum((F.col(c) * x for c, x in zip("XYZ", a, strict=True)), F.lit(0.0))
-    flat = points.join(F.broadcast(orientation), by).select(by, on(u).alias("_u"), on(v).alias("_v"))
+    flat = points.join(orientation, by).select(by, on(u).alias("_u"), on(v).alias("_v"))
     h = _hulls(flat, by, "_u", "_v")
     return h.select(by, F.col("area").alias("area_m2"), patch_magnitude(F.col("area") / 1e6, law).alias("max_mag"))

@@ -76,11 +76,21 @@ def neighbor_pairs(cat: DataFrame, r: float, dt_h: float | None = None, key: str
     return pairs.select(F.col(f"i_{key}").alias("i"), F.col(f"j_{key}").alias("j"), *((F.col(f"j_{c}") - F.col(f"i_{c}")).alias(f"d{c.lower()}") for c in XYZ), "d2", dt.alias("dt_s"), *(F.col(f"i_{c}").alias(c) for c in seq))
 
 
-def knn(points: DataFrame, k: int, key: str = "ID", axes: tuple[str, ...] = XYZ, start: float | None = None, max_rounds: int = 12) -> DataFrame:
+def crowding(points: DataFrame, axes: tuple[str, ...], sizes: list[float]) -> list[float]:
+    """For each cell size, the mean over rows of the number of rows in their own cell. sizes: each twice the one before."""
+    fine = points.groupBy(*(c.alias(f"c{k}") for k, c in enumerate(cells(axes, sizes[0])))).agg(F.count(F.lit(1)).alias("n"))
+    at = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(sizes) - 1))).alias("level"))
+    coarse = at.groupBy("level", *(F.expr(f"shiftright(c{k}, level)").alias(f"c{k}") for k in range(len(axes)))).agg(F.sum("n").alias("n"))
+    found = {r["level"]: r["q"] for r in coarse.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("q")).collect()}  # a row a size
+    return [found[level] for level in range(len(sizes))]
+
+
+def knn(points: DataFrame, k: int, key: str = "ID", axes: tuple[str, ...] = XYZ, start: float | None = None) -> DataFrame:
     """(i, j, d, rank 1 .. k): each row's k nearest others; ties by key. Rows with fewer than k others have them all.
 
-    The search radius doubles from `start` (by default from the mean spacing) for the rows that are not settled; those
-    still open after the rounds are compared with all rows in blocks by broadcast of the open ones, whose number is small.
+    The search radius doubles from `start` for the rows that are not settled; in the end it spans all rows, so none stays
+    open. By default it starts where a row's own cell holds about k rows on average, so dense parts, which hold most rows,
+    meet few others each, and only sparse rows go on to larger cells.
     """
     n, *spread = points.agg(F.count(F.lit(1)), *(F.max(c) - F.min(c) for c in axes)).first()
     if n < 2:
@@ -88,23 +98,21 @@ def knn(points: DataFrame, k: int, key: str = "ID", axes: tuple[str, ...] = XYZ,
     k_eff = min(k, n - 1)
     spread = [max(float(s or 0), 1e-9) for s in spread]
     size = start or max(max(spread) / 1e6, (math.prod(spread) / n * (k_eff + 1)) ** (1 / len(axes)) / 2)
+    if start is None:  # the mean spacing is a bound from above where rows cluster
+        ladder = [size / 2**level for level in range(8, -1, -1)]
+        size = max((s for s, q in zip(ladder, crowding(points, axes, ladder), strict=True) if q <= k_eff + 1), default=ladder[0])
     open_rows, done = points.select(key, *axes), None
     rank = Window.partitionBy("i").orderBy("d2", "j")
-    for _ in range(max_rounds):
+    while True:
         near = grid_pairs(open_rows, points.select(key, *axes), axes, size).filter(F.col(f"i_{key}") != F.col(f"j_{key}"))
         near = near.select(F.col(f"i_{key}").alias("i"), F.col(f"j_{key}").alias("j"), d2(axes).alias("d2")).filter(F.col("d2") <= size * size)
         near = near.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k_eff)
         near = cut(near.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("i"))).filter(F.col("_n") == k_eff).drop("_n"))
         done = near if done is None else done.union(near)
-        open_rows = cut(open_rows.join(near.select(F.col("i").alias(key)).distinct(), key, "left_anti"))
+        open_rows = cut(open_rows.join(near.filter("rank = 1").select(F.col("i").alias(key)), key, "left_anti"))
         if open_rows.isEmpty():
             break
-        size *= 2 if size < max(spread) else 8
-    else:
-        far = points.select(F.col(key).alias("j"), *(F.col(c).alias(f"j_{c}") for c in axes))
-        rest = open_rows.select(F.col(key).alias("i"), *(F.col(c).alias(f"i_{c}") for c in axes))
-        far = far.join(F.broadcast(rest), F.col("i") != F.col("j")).select("i", "j", d2(axes).alias("d2"))
-        done = done.union(far.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k_eff))
+        size *= 2
     return done.select("i", "j", F.sqrt("d2").alias("d"), "rank")
 
 

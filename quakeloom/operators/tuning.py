@@ -24,7 +24,7 @@ def inter_event_hours(cat: DataFrame, key: str = "ID", part_s: int = 86_400 * 30
     last = c.groupBy("p").agg(F.max("t").alias("last"))
     last = last.select("p", F.lag("last").over(Window.orderBy("p")).alias("carried"))
     inside = F.lag("t").over(Window.partitionBy("p").orderBy("t", key))
-    return c.withColumn("before", inside).join(F.broadcast(last), "p").select(key, F.floor((F.col("t") - F.coalesce("before", "carried")) / 3600).alias("hours"))
+    return c.withColumn("before", inside).join(last, "p").select(key, F.floor((F.col("t") - F.coalesce("before", "carried")) / 3600).alias("hours"))
 
 
 def _spread(x: str, name: str) -> list:
@@ -99,7 +99,7 @@ def pareto(results: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
         le = F.col(f"_{c}") <= F.col(c)
         no_worse = le if no_worse is None else no_worse & le
         better = better | (F.col(f"_{c}") < F.col(c))
-    return r.join(F.broadcast(other), no_worse & better, "left_anti").drop("_id")
+    return r.join(other, no_worse & better, "left_anti").drop("_id")
 
 
 def representatives(front: DataFrame, objectives: tuple[str, ...]) -> DataFrame:

@@ -176,7 +176,7 @@ book.add("d3_prefer_determined", _BEST, _AP)(lambda s, d: matching.prefer_determ
 book.add("j6_enrich_focals", f"""SELECT f.ID, coalesce(h.sequence_label, 'unclustered') AS sequence_label, h.fault_id, CASE WHEN h.sequence_label <> 'unclustered' THEN h.sequence_label[1] END AS segmentation_level,
     coalesce(h.sequence_label, 'unclustered') <> 'unclustered' AS is_clustered, b.plane_determination_method, b.epsilon FROM foc f LEFT JOIN (SELECT * FROM hyp WHERE eid % 4 <> 0) h USING (ID) LEFT JOIN ({_BEST}) b USING (ID)""", _AP)(
     lambda s, d: matching.enrich_focals(derived.focals(s, d).select("ID"), derived.hypocenters(s, d).filter("eid % 4 <> 0"), _ap(s, d)))
-book.add("j7_semi_by_id", "SELECT count(*) AS n FROM foc WHERE ID IN (SELECT ID FROM cat WHERE eid % 2 = 0)")(lambda s, d: derived.focals(s, d).join(derived.catalog(s, d).filter("eid % 2 = 0"), "ID", "left_semi").agg(F.count(F.lit(1)).alias("n")))
+book.add("j7_semi_by_id", "SELECT count(*) AS n FROM foc WHERE ID IN (SELECT ID FROM hyp WHERE sequence_label <> 'unclustered')")(lambda s, d: derived.focals(s, d).join(derived.hypocenters(s, d).filter("sequence_label <> 'unclustered'"), "ID", "left_semi").agg(F.count(F.lit(1)).alias("n")))
 book.add("j11_anti_by_id", "SELECT ID, MAG FROM cat WHERE ID NOT IN (SELECT ID FROM hyp WHERE sequence_label <> 'unclustered')")(
     lambda s, d: derived.catalog(s, d).join(derived.hypocenters(s, d).filter("sequence_label <> 'unclustered'"), "ID", "left_anti").select("ID", "MAG"))
 book.add("d1_union_results", "SELECT ID, 'A' AS source_cluster, MAG, NULL::DOUBLE AS Z FROM hyp WHERE segmentation_level = 'A' UNION ALL SELECT ID, 'B', NULL, Z FROM hyp WHERE segmentation_level = 'B'")(

@@ -86,13 +86,13 @@ book.add("a8_cluster_diagnostics", """SELECT label, count(*) AS n, round(avg(X),
     epoch_us(min(Date)) AS start_us, epoch_us(max(Date)) AS end_us, epoch_us(min(Date)) + (epoch_us(max(Date)) - epoch_us(min(Date))) // 2 AS mid_us, round((epoch_us(max(Date)) - epoch_us(min(Date))) / 86400000000, 6) AS span_days, round(count(*) / (SELECT count(*) FROM pt), 6) AS share,
     CASE WHEN max(X) - min(X) >= max(Y) - min(Y) AND max(X) - min(X) >= max(Z) - min(Z) THEN 'X' WHEN max(Y) - min(Y) >= max(Z) - min(Z) THEN 'Y' ELSE 'Z' END AS elongated_axis FROM pt GROUP BY label""", _PAT)(
     lambda s, d: (g := cluster.cluster_diagnostics(_patches(s, d))).select(*(F.round(c, 4 if c.startswith(("cen", "diag")) else 6).alias(c) if k == "double" else F.col(c) for c, k in g.dtypes)))
-_QS = "qs AS (SELECT label, X, Y, Z FROM pt WHERE eid % 20 = 1 AND eid < 20000)"
+_QS = "qs AS (SELECT label, X, Y, Z FROM pt)"
 book.add("a9_clustering_quality", """SELECT (SELECT count(DISTINCT label) FROM qs WHERE label >= 0) AS n_clusters, round((SELECT avg((label < 0)::INT) FROM qs), 6) AS noise_ratio, round((SELECT avg(n) FROM m), 6) AS size_mean, round((SELECT stddev_pop(n) FROM m), 6) AS size_std,
     (SELECT min(n) FROM m) AS size_min, (SELECT max(n) FROM m) AS size_max, round((SELECT sum(n * (pow(mx - (SELECT avg(X) FROM qc), 2) + pow(my - (SELECT avg(Y) FROM qc), 2) + pow(mz - (SELECT avg(Z) FROM qc), 2))) / (count(*) - 1) FROM m) / (SELECT sum(w) / (sum(n) - count(*)) FROM sp), 3) AS calinski_harabasz,
     round((SELECT avg(v) FROM (SELECT max((a.rad + b.rad) / sqrt(pow(a.mx - b.mx, 2) + pow(a.my - b.my, 2) + pow(a.mz - b.mz, 2))) AS v FROM sp a JOIN sp b ON a.label <> b.label GROUP BY a.label)), 6) AS davies_bouldin,
     round((SELECT avg(CASE WHEN greatest(a, b) = 0 OR a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) FROM (SELECT r, max(s / nullif(n - 1, 0)) FILTER (li = lj) AS a, min(s / n) FILTER (li <> lj) AS b FROM (SELECT p.rowid_ AS r, p.label AS li, q.label AS lj, count(*) AS n, sum(sqrt(pow(p.X - q.X, 2) + pow(p.Y - q.Y, 2) + pow(p.Z - q.Z, 2))) AS s
     FROM qn p, qn q GROUP BY 1, 2, 3) GROUP BY r)), 6) AS silhouette""", f"{_PAT}, {_QS}, qc AS (SELECT * FROM qs WHERE label >= 0), qn AS (SELECT *, row_number() OVER () AS rowid_ FROM qc), m AS (SELECT label, count(*) AS n, avg(X) AS mx, avg(Y) AS my, avg(Z) AS mz FROM qc GROUP BY label), sp AS (SELECT label, any_value(m.n) AS n, any_value(mx) AS mx, any_value(my) AS my, any_value(mz) AS mz, sum(pow(X - mx, 2) + pow(Y - my, 2) + pow(Z - mz, 2)) AS w, avg(sqrt(pow(X - mx, 2) + pow(Y - my, 2) + pow(Z - mz, 2))) AS rad FROM qc JOIN m USING (label) GROUP BY label)")(
-    lambda s, d: (g := cluster.clustering_quality(_patches(s, d).filter("eid % 20 = 1 AND eid < 20000"), XYZ)).select(*(F.round(c, 3 if c.startswith("cal") else 6).alias(c) if k == "double" else F.col(c) for c, k in g.dtypes)))
+    lambda s, d: (g := cluster.clustering_quality(_patches(s, d), XYZ)).select(*(F.round(c, 3 if c.startswith("cal") else 6).alias(c) if k == "double" else F.col(c) for c, k in g.dtypes)))
 _MV = "mv AS (SELECT fault_id AS source, eid AS point, CASE WHEN eid % 3 = 0 THEN -1 ELSE CAST(eid % 7 AS INT) END AS label FROM hyp WHERE fault_id IS NOT NULL)"
 book.add("a10_majority_label", "SELECT s.source, coalesce(b.label, -1) AS label FROM (SELECT DISTINCT source FROM mv) s LEFT JOIN (SELECT source, label FROM (SELECT source, label, count(*) AS n, min(point) AS o FROM mv WHERE label >= 0 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, o) = 1) b USING (source)", _MV)(
     lambda s, d: cluster.majority_label(derived.hypocenters(s, d).filter("fault_id IS NOT NULL").selectExpr("fault_id AS source", "eid AS point", "CASE WHEN eid % 3 = 0 THEN -1 ELSE CAST(eid % 7 AS INT) END AS label"), "source"))

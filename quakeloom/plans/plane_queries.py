@@ -109,14 +109,14 @@ def _flipped(copies):
 
 
 _NN = ", ".join(f"{e} AS normal_vector_{c}" for c, e in zip("xyz", ("-sin(radians(dip)) * sin(radians(azi))", "-sin(radians(dip)) * cos(radians(azi))", "-cos(radians(dip))"), strict=True))
-DISC = f"{ANG}, dp AS (SELECT ID, eid, X, Y, Z, {_NN}, CAST(10 + eid % 90 AS DOUBLE) AS r FROM ang WHERE eid % 20 = 0)"
+DISC = f"{ANG}, dp AS (SELECT ID, eid, X, Y, Z, {_NN}, CAST(10 + eid % 90 AS DOUBLE) AS r FROM ang)"
 _AXES = """ax AS (SELECT *, CASE WHEN abs(normal_vector_z) >= 0.9 THEN [0, normal_vector_z / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y), -normal_vector_y / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y)]
     ELSE [normal_vector_y / sqrt(normal_vector_x * normal_vector_x + normal_vector_y * normal_vector_y), -normal_vector_x / sqrt(normal_vector_x * normal_vector_x + normal_vector_y * normal_vector_y), 0] END AS u FROM dp),
     bx AS (SELECT *, [normal_vector_y * u[3] - normal_vector_z * u[2], normal_vector_z * u[1] - normal_vector_x * u[3], normal_vector_x * u[2] - normal_vector_y * u[1]] AS v FROM ax)"""
 
 
 def _discs(spark, d):
-    a = derived.catalog(spark, d).filter("eid % 20 = 0").selectExpr("ID", "eid", "X", "Y", "Z", *(f"{e} AS {c}" for c, e in ANGLES.items()), "CAST(10 + eid % 90 AS DOUBLE) AS rupt_radius")
+    a = derived.catalog(spark, d).selectExpr("ID", "eid", "X", "Y", "Z", *(f"{e} AS {c}" for c, e in ANGLES.items()), "CAST(10 + eid % 90 AS DOUBLE) AS rupt_radius")
     n = geometry.plane_normal(F.col("azi"), F.col("dip"))
     return a.withColumns({f"normal_vector_{c}": n[i] for i, c in enumerate("xyz")}).drop("azi", "dip")
 
