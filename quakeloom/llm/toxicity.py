@@ -2,7 +2,8 @@
 
 A logistic model over word presence is fitted on labelled texts. For every labelled sentence that names a
 group (identity terms, in interchangeable sets), copies with the term swapped for the others of its set are
-built, and the fit pays for each difference between the scores of a text and its copies. So a mention of a
+built; besides given sets there are learned ones of words that both classes use alike. Only the difference of the words
+counts, so a copy is kept as the words that go and come, and the fit pays for each difference between the scores of a text and its copies. So a mention of a
 group cannot carry the score by itself, which spares neutral mentions.
 """
 
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 WORD = re.compile(r"\w+")
-SENTENCE = re.compile(r"(?<=[.!?\n])")
 
 #: Sets of terms that name groups and can stand for one another in a sentence.
 IDENTITY_TERMS = (
@@ -37,6 +37,8 @@ IDENTITY_TERMS = (
 
 #: Bounds of the fit: labelled rows used, and words kept as features. Neither grows with the corpus.
 MAX_ROWS, MAX_WORDS = 24_000, 6_000
+#: Learned sets of terms, and terms in each.
+SETS, SIZE = 8, 4
 
 
 def words(text: str | None) -> set[str]:
@@ -44,20 +46,18 @@ def words(text: str | None) -> set[str]:
 
 
 def swaps(text: str | None, groups: tuple = IDENTITY_TERMS, most: int = 5) -> list[set[str]]:
-    """Word sets of copies of text in which, sentence by sentence, each identity term gives way to another of its set."""
-    if not text:
-        return []
-    turn = {t: g for g in groups for t in g}
-    low = text.lower()
-    if turn.keys().isdisjoint(WORD.findall(low)):
-        return []
-    sentences = SENTENCE.split(low)
-    out = []
-    for step in range(1, most + 1):
-        changed = [WORD.sub(lambda m: turn[w][(turn[w].index(w) + step) % len(turn[w])] if (w := m[0]) in turn else w, s) for s in sentences]
-        found = words("".join(changed))
-        if found not in out and found != words(low):
-            out.append(found)
+    """Word sets of copies of text in which each identity term gives way to another of its set."""
+    return swapped(words(text), {t: g for g in groups for t in g}, most)
+
+
+def swapped(found: set[str], turn: dict[str, tuple], most: int = 5) -> list[set[str]]:
+    """swaps() of a text of these words; turn: each term's set."""
+    terms = turn.keys() & found
+    out: list[set[str]] = []
+    for step in range(1, most + 1 if terms else 1):
+        copy = (found - terms) | {turn[t][(turn[t].index(t) + step) % len(turn[t])] for t in terms}
+        if copy not in out and copy != found:
+            out.append(copy)
     return out
 
 
@@ -68,8 +68,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, held_out: Column, label: s
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
 
 
-def vocabulary(rows: DataFrame, groups: tuple = IDENTITY_TERMS, max_words: int = MAX_WORDS, least: int = 4) -> list[str]:
-    """The words whose presence tells most about the label (by the signed root of the likelihood ratio), and the identity terms."""
+def word_counts(rows: DataFrame) -> tuple[DataFrame, int, float]:
+    """(word, neg, pos): labelled texts of either label that hold each word; how many texts there are, and the share of label 1."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -81,24 +81,43 @@ def vocabulary(rows: DataFrame, groups: tuple = IDENTITY_TERMS, max_words: int =
 
     n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
     total = max(1, sum(n.values()))
-    share = (n.get(1, 0) + 1) / (total + 2)
     by_word = rows.select("text", "label").mapInPandas(count, "word string, neg long, pos long").groupBy("word").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    df, p = F.col("pos") + F.col("neg"), F.col("pos")
-    expect = df * F.lit(share)
-    gain = F.abs(p - expect) / F.sqrt(expect * F.lit(1 - share) + 1)
-    best = by_word.filter(df >= least).orderBy(gain.desc(), "word").limit(max_words)
-    terms = by_word.filter(F.col("word").isin([t for g in groups for t in g]))
+    return materialize(by_word, "words"), total, (n.get(1, 0) + 1) / (total + 2)
+
+
+def _gain(share: float) -> Column:
+    expect = (F.col("pos") + F.col("neg")) * F.lit(share)
+    return F.abs(F.col("pos") - expect) / F.sqrt(expect * F.lit(1 - share) + 1)
+
+
+def learned_groups(counts: DataFrame, total: int, share: float, sets: int = SETS, size: int = SIZE) -> tuple:
+    """Interchangeable sets of terms from the labelled texts themselves: frequent words that are used alike in texts of
+    both labels, those of like frequency together. They are neutral mentions, so a score should not depend on them."""
+    df = F.col("pos") + F.col("neg")
+    even = counts.filter((df >= 0.02 * total) & (df >= 4) & (F.col("pos") > 0) & (F.col("neg") > 0) & (_gain(share) <= 0.5))
+    terms = [r[0] for r in even.orderBy(df.desc(), "word").limit(sets * size).collect()]
+    return tuple(g for i in range(0, len(terms), size) if len(g := tuple(terms[i : i + size])) > 1)
+
+
+def vocabulary(counts: DataFrame, share: float, groups: tuple = IDENTITY_TERMS, max_words: int = MAX_WORDS, least: int = 4) -> list[str]:
+    """The words whose presence tells most about the label (by the signed root of the likelihood ratio), and the terms of groups."""
+    best = counts.filter(F.col("pos") + F.col("neg") >= least).orderBy(_gain(share).desc(), "word").limit(max_words)
+    terms = counts.filter(F.col("word").isin([t for g in groups for t in g]))
     return sorted({r[0] for r in best.select("word").union(terms.select("word")).collect()})
 
 
 def design(rows: DataFrame, vocab: list[str], groups: tuple = IDENTITY_TERMS) -> pd.DataFrame:
-    """label, x (indexes of the words present) and swapped (the same for every counterfactual copy); bounded by max_rows."""
+    """label, x (indexes of the words present) and, for every counterfactual copy, what it swaps: i for a word that goes,
+    -1 - i for one that comes. A swap holds a few terms, so the size is bounded by max_rows and the words of a text."""
     place = {w: i for i, w in enumerate(vocab)}
+    turn = {t: g for g in groups for t in g}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = lambda s: sorted(place[w] for w in place.keys() & s)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [index(words(t)) for t in pdf["text"]], "swapped": [[index(s) for s in swaps(t, groups)] for t in pdf["text"]]})
+            found = [words(t) for t in pdf["text"]]
+            swap = [[index(w - c) + [-1 - i for i in index(c - w)] for c in swapped(w, turn)] for w in found]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "label": pdf["label"], "x": [index(w) for w in found], "swapped": swap})
 
     return rows.mapInPandas(run, "doc_id long, label int, x array<int>, swapped array<array<int>>").toPandas().sort_values("doc_id")
 
@@ -113,7 +132,8 @@ def fit(data: pd.DataFrame, n_words: int, fairness: float = 1.0, ridge: float =
     y = data["label"].to_numpy(float)
     row, col = _csr(list(data["x"]))
     pairs = [(i, s) for i, ss in enumerate(data["swapped"]) for s in ss]
-    prow, pcol = _csr([s for _, s in pairs])
+    prow, change = _csr([s for _, s in pairs])
+    sign, pcol = np.where(change < 0, -1.0, 1.0), np.where(change < 0, -1 - change, change)
     of = np.array([i for i, _ in pairs], np.int64)
     w, b = np.zeros(n_words), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(n_words + 1), np.zeros(n_words + 1)
@@ -123,10 +143,9 @@ def fit(data: pd.DataFrame, n_words: int, fairness: float = 1.0, ridge: float =
         r = (p - y) / max(1, len(y))
         if len(of):
             # score differences in logits; both copies share the intercept
-            gap = (z - b)[of] - np.bincount(prow, w[pcol], len(of))
+            gap = np.bincount(prow, sign * w[pcol], len(of))
             push = 2 * fairness * gap / len(of)
-            extra = np.bincount(of, push, len(y))
-            g = np.bincount(col, (r + extra)[row], n_words) - np.bincount(pcol, push[prow], n_words)
+            g = np.bincount(col, r[row], n_words) + np.bincount(pcol, sign * push[prow], n_words)
         else:
             g = np.bincount(col, r[row], n_words)
         g = np.append(g + 2 * ridge * w / max(1, len(y)) ** 0.5, r.sum())
@@ -137,14 +156,19 @@ def fit(data: pd.DataFrame, n_words: int, fairness: float = 1.0, ridge: float =
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, label: str = "toxic", groups: tuple = IDENTITY_TERMS, fairness: float = 1.0, max_rows: int = MAX_ROWS, max_words: int = MAX_WORDS) -> dict:
-    """{"words": {word: weight}, "bias": intercept}. Without any labelled row the model scores 0.5 less a hair."""
+    """{"words": {word: weight}, "bias": intercept, "copies": swapped copies in the fit}. groups are taken together with
+    learned_groups(). Without any labelled row the model scores 0.5 less a hair."""
     rows = materialize(training_rows(docs, labels, held_out, label, max_rows), "labelled")
-    vocab = vocabulary(rows, groups, max_words)
+    counts, total, share = word_counts(rows)
+    known = {t for g in groups for t in g}
+    learned = (tuple(t for t in g if t not in known) for g in learned_groups(counts, total, share))
+    groups = (*groups, *(g for g in learned if len(g) > 1))
+    vocab = vocabulary(counts, share, groups, max_words)
     data = design(rows, vocab, groups)
     if data.empty:
-        return {"words": {}, "bias": -1e-6}
+        return {"words": {}, "bias": -1e-6, "copies": 0}
     w, b = fit(data, len(vocab), fairness)
-    return {"words": {t: float(x) for t, x in zip(vocab, w, strict=True) if x}, "bias": b}
+    return {"words": {t: float(x) for t, x in zip(vocab, w, strict=True) if x}, "bias": b, "copies": int(data["swapped"].map(len).sum())}
 
 
 def score(docs: DataFrame, model: dict, name: str = "score") -> DataFrame:

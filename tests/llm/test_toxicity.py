@@ -54,6 +54,30 @@ def test_without_labels_or_rows(spark):
     assert T.judge(docs.limit(0), labs).count() == 0
 
 
+def test_swapped_copies_by_brute_force(spark):
+    """The kept differences give the gaps between the scores of whole texts and their whole copies; learned sets exist."""
+    rows, labels = corpus()
+    docs, labs = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int")
+    train = T.training_rows(docs, labs, F.lit(False))
+    counts, total, share = T.word_counts(train)
+    groups = (*T.IDENTITY_TERMS, *T.learned_groups(counts, total, share))
+    vocab = T.vocabulary(counts, share, groups)
+    data = T.design(train, vocab, groups).set_index("doc_id")
+    assert len(groups) > len(T.IDENTITY_TERMS) and total == 600 and data["swapped"].map(len).sum() > 600
+    w = np.random.default_rng(0).normal(size=len(vocab))
+    weight = dict(zip(vocab, w, strict=True))
+    z = lambda found: sum(weight.get(t, 0) for t in found)
+    for i, text, _ in rows[:100]:
+        gaps = [z(T.words(text)) - z(c) for c in T.swaps(text, groups)]
+        kept = [sum(w[j] if j >= 0 else -w[-1 - j] for j in s) for s in data.loc[i, "swapped"]]
+        assert np.allclose(gaps, kept)
+    gap = {}
+    for fairness in (0.0, 5.0):
+        fitted, _ = T.fit(data.reset_index(), len(vocab), fairness)
+        gap[fairness] = np.mean([sum(fitted[j] if j >= 0 else -fitted[-1 - j] for j in s) ** 2 for ss in data["swapped"] for s in ss])
+    assert gap[5.0] < gap[0.0]
+
+
 def test_swaps_go_sentence_by_sentence():
     got = T.swaps("Women sing. A gay man left.")
     assert len(got) >= 3 and all("women" not in g and "man" not in g and "gay" not in g for g in got[:3]) and T.swaps("nothing here") == [] == T.swaps(None)
