@@ -173,8 +173,9 @@ def find(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFr
 
 def remove(docs: DataFrame, items: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of docs whose document matches no item; rows without a doc_id go together, if any of them matches."""
-    bad = materialize(find(docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**63)))), items, least).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.coalesce("doc_id", F.lit(-(2**63))) == F.col("_bad"), "left_anti")
+    k = F.coalesce("doc_id", F.lit(-(2**63)))
+    bad = materialize(find(docs.select(k.alias("doc_id"), "text"), items, least).select(F.col("doc_id").alias("k")).distinct(), "contaminated")
+    return docs.select(F.struct("*").alias("doc"), k.alias("k")).join(bad, "k", "left_anti").select("doc.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
