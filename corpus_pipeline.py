@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quakeloom.llm import decontamination, near_copies, packing, suffix_dedup, toxicity
 from quakeloom.llm.common import new_path, table
 
-#: Not expressible in SQL: a trained classifier, SimHash candidates and bin packing. Tested against brute force instead.
+#: Not expressible in SQL: a trained classifier, near copies and bin packing. Tested against brute force instead.
 ORACLE_SQL = None
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier calls toxic. It learns from the labels of the documents of this stage."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), toxicity.fold() == 0)
-    return toxicity.score(docs, model, "_score").filter("_score < 0.5").drop("_score")
+    return toxicity.score(docs.select("text", F.struct("*").alias("doc")), model).filter("score < 0.5").select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
