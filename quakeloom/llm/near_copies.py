@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KeyFilter, join_heavy, materialize, scratch
+from .common import join_heavy, likely, materialize, scratch
 from .components import components
 from .simhash_dedup import close_pairs, majority
 
@@ -172,7 +172,7 @@ def meetings(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     flat = texts.select("tid", "n", F.posexplode("keys").alias("pos", "c")).withColumn("short", short)
     shared = flat.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("c", "m")
     shared = materialize(shared, "shared")
-    return materialize(join_heavy(flat.filter(KeyFilter(shared, ["c"]).may_hold()), shared, "c", "m"), "meetings")
+    return materialize(join_heavy(likely(flat, shared, ["c"]), shared, "c", "m"), "meetings")
 
 
 class Members:
@@ -315,7 +315,7 @@ def sets(ids: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
         for part, found in shingled(batches):
             yield pa.RecordBatch.from_pydict({"tid": part.column("tid"), "s": lists(found)})
 
-    found = rows.filter(KeyFilter(wanted, ["k", "own"]).may_hold()).join(wanted, ["k", "own"]).select("tid", "text").mapInArrow(run, "tid long, s array<long>")
+    found = likely(rows, wanted, ["k", "own"]).join(wanted, ["k", "own"]).select("tid", "text").mapInArrow(run, "tid long, s array<long>")
     return materialize(found.dropDuplicates(["tid"]), "shingles")
 
 
@@ -379,8 +379,7 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         counted = every.groupBy("k", "own").agg(F.count(F.lit(1)).alias("rows")).join(firsts.withColumn("stays", F.lit(True)), ["k", "own"], "left")
         counted = materialize(counted.filter("stays IS NULL OR rows > 1"), "judged", keep=True)
     gone = counted.filter("stays IS NULL").select("k", "own")
-    maybe = KeyFilter(gone, ["k", "own"]).may_hold()
-    kept = keyed.filter(~maybe).unionByName(keyed.filter(maybe).join(gone, ["k", "own"], "left_anti"))
+    kept = likely(keyed, gone, ["k", "own"], inside=False).unionByName(likely(keyed, gone, ["k", "own"]).join(gone, ["k", "own"], "left_anti"))
     if not counted.filter("stays AND rows > 1").isEmpty():
         kept = kept.dropDuplicates(["k", "own"])
     return kept.select("doc.*")

@@ -28,7 +28,7 @@ from .common import materialize, table
 
 CAPACITY = 2048
 #: Words and pieces in each of the two generations of a tokenizing process's memory; texts whose words are looked up together.
-CACHE, GROUP = 180_000, 512
+CACHE, GROUP = 100_000, 256
 #: Runs of ASCII punctuation that stand between white space, letters and digits, and apart from apostrophes: pieces of
 #: their own, as are runs of ASCII letters and single digits.
 _APART = re.compile(r"([!-&(-/:-@\[-`{-~](?<![^ \t\n\r\x0b\x0c\w].)(?<!_.)[!-&(-/:-@\[-`{-~]*+)(?=[ \t\n\r\x0b\x0c]|[^\W_]|\Z)")
