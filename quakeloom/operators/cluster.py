@@ -11,23 +11,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graph import connected_components
-from .lineage import cut
+from .lineage import cut, numbered
 from .neighbors import d2, grid_pairs
 
 
-def _distance(axes: tuple[str, ...], metric: str) -> Column:
-    gaps = [F.abs(F.col(f"j_{c}") - F.col(f"i_{c}")) for c in axes]
+def _norm(gaps: list[Column], metric: str) -> Column:
     if metric == "manhattan":
         return sum(gaps[1:], gaps[0])
     if metric == "chebyshev":
         return F.greatest(*gaps) if len(gaps) > 1 else gaps[0]
-    return F.sqrt(d2(axes))
+    return F.sqrt(sum((g * g for g in gaps), F.lit(0.0)))
+
+
+def _distance(axes: tuple[str, ...], metric: str) -> Column:
+    return _norm([F.abs(F.col(f"j_{c}") - F.col(f"i_{c}")) for c in axes], metric)
 
 
 def _number(roots: DataFrame, on: tuple[str, ...]) -> DataFrame:
-    """Labels 0, 1, ... of the clusters by their smallest key; the cluster table is small."""
-    w = Window.partitionBy(*on).orderBy("root") if on else Window.orderBy("root")
-    return roots.select("root", *on).distinct().withColumn("label", F.row_number().over(w) - 1)
+    """(root, *on, label): labels 0, 1, ... of the clusters by their smallest key, starting anew for each value of `on`."""
+    every = numbered(roots.select(*on, "root").distinct(), (*on, "root"), "_no")
+    if not on:
+        return every.select("root", (F.col("_no") - 1).cast("int").alias("label"))
+    first = every.groupBy(*on).agg(F.min("_no").alias("_first"))
+    return every.join(first, list(on)).select("root", *on, (F.col("_no") - F.col("_first")).cast("int").alias("label"))
+
+
+def _core_roots(core: DataFrame, axes: tuple[str, ...], eps: float, fine: float, on: tuple[str, ...], metric: str) -> DataFrame:
+    """(node, root): the components of the nodes of core rows (*axes, *on, _node; a node's rows lie in one cell of edge `fine`).
+
+    Nodes are compared by the boxes around their rows. Boxes wholly within eps are linked, boxes over eps apart are not, and
+    rows are compared only for the other pairs of boxes that are not in one component yet, and of them only those within
+    eps of the other box.
+    """
+    sides = [x for c in axes for x in (f"_lo_{c}", f"_hi_{c}")]
+    nodes = cut(core.groupBy("_node", *on).agg(*(f(c).alias(n) for c in axes for f, n in ((F.min, f"_lo_{c}"), (F.max, f"_hi_{c}")))))
+    at = lambda p, x: F.col(f"{p}_{x}")
+    apart = [F.greatest(at("j", f"_lo_{c}") - at("i", f"_hi_{c}"), at("i", f"_lo_{c}") - at("j", f"_hi_{c}"), F.lit(0.0)) for c in axes]
+    reach = [F.greatest(at("j", f"_hi_{c}") - at("i", f"_lo_{c}"), at("i", f"_hi_{c}") - at("j", f"_lo_{c}")) for c in axes]
+    pairs = grid_pairs(nodes, nodes, tuple(f"_lo_{c}" for c in axes), eps + fine, on).filter((F.col("i__node") < F.col("j__node")) & (_norm(apart, metric) <= eps))
+    pairs = cut(pairs.select(*(at(p, x) for p in "ij" for x in ("_node", *sides)), (_norm(reach, metric) <= eps).alias("linked")))
+    roots = connected_components(pairs.filter("linked").select(F.col("i__node").alias("a"), F.col("j__node").alias("b")))
+    roots = cut(nodes.select(F.col("_node").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    for p in "ij":
+        pairs = pairs.join(roots.select(F.col("node").alias(f"{p}__node"), F.col("root").alias(f"{p}_root")), f"{p}__node")
+    unsure = cut(pairs.filter("NOT linked AND i_root <> j_root"))
+    rows = []
+    for p, q in ("ij", "ji"):
+        mine = core.select(F.col("_node").alias(f"{p}__node"), *(F.col(c).alias(f"{p}_{c}") for c in axes))
+        off = _norm([F.greatest(at(q, f"_lo_{c}") - at(p, c), at(p, c) - at(q, f"_hi_{c}"), F.lit(0.0)) for c in axes], metric)
+        both = unsure.select("i__node", "j__node", f"{p}_root", *(at(q, x) for x in sides))
+        rows.append(both.join(mine, f"{p}__node").filter(off <= eps).select("i__node", "j__node", f"{p}_root", *(at(p, c) for c in axes)))
+    met = rows[0].join(rows[1], ["i__node", "j__node"]).filter(_distance(axes, metric) <= eps)
+    top = connected_components(met.select(F.col("i_root").alias("a"), F.col("j_root").alias("b")).distinct()).select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    return roots.join(top, "root", "left").select("node", F.coalesce("_top", "root").alias("root"))
 
 
 def dbscan(points: DataFrame, axes: tuple[str, ...], eps: float, min_samples: int, key: str = "ID", on: tuple[str, ...] = (), metric: str = "euclidean") -> DataFrame:
@@ -46,9 +82,8 @@ def dbscan(points: DataFrame, axes: tuple[str, ...], eps: float, min_samples: in
     counts = grid_pairs(few.select(key, *axes, *on), p.select(key, *axes, *on), axes, eps, on).filter(near).groupBy(F.col(f"i_{key}").alias(key)).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples)
     core = p.filter("_dense").select(key, *axes, *on, "_cell").union(few.join(counts.select(key), key, "left_semi").select(key, *axes, *on, "_cell"))
     core = cut(core.join(core.groupBy("_cell").agg(F.min(key).alias("_node")), "_cell").drop("_cell"))
-    edges = grid_pairs(core, core.select(key, *axes, *on, "_node"), axes, eps, on).filter(F.col("i__node") < F.col("j__node")).filter(near)
-    roots = connected_components(edges.select(F.col("i__node").alias("a"), F.col("j__node").alias("b")).distinct()).withColumnRenamed("node", "_node")
-    core = core.join(roots, "_node", "left").withColumn("root", F.coalesce("root", "_node")).drop("_node")
+    roots = cut(_core_roots(core, axes, eps, fine, on, metric).withColumnRenamed("node", "_node"))
+    core = core.join(roots, "_node").drop("_node")
     core = cut(core.join(_number(core, on), ["root", *on]).drop("root"))
     rest = few.join(core.select(key), key, "left_anti").select(key, *axes, *on)
     border = grid_pairs(rest, core, axes, eps, on).filter(near).groupBy(F.col(f"i_{key}").alias(key)).agg(F.min("j_label").alias("label"))
@@ -147,7 +182,7 @@ def segment(cat: DataFrame, steps: list[dict], final: str = "keep", key: str = "
             break
         level, axes = chr(ord("A") + i), tuple(s.get("axes", "XYZ"))
         found = small_to_noise(dbscan(left, axes, s["eps"], s["min_samples"], key).select(key, "label"), size)
-        named = found.filter("label >= 0").select("label").distinct().withColumn("_r", F.row_number().over(Window.orderBy("label")))
+        named = numbered(found.filter("label >= 0").select("label").distinct(), ("label",), "_r")
         found = cut(found.join(named, "label", "left").select(key, F.concat(F.lit(level), F.col("_r").cast("string")).alias("sequence_label")))
         kept, rest = found.filter("sequence_label IS NOT NULL"), found.filter("sequence_label IS NULL").select(key)
         outliers = rest.count()

@@ -8,10 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.geometry import disc_axes, plane_normal
 from ..functions.magnitude import patch_magnitude
+from .lineage import numbered
 from .planes import mean_orientation
 
 NORMAL = ("normal_vector_x", "normal_vector_y", "normal_vector_z")
@@ -19,7 +19,7 @@ NORMAL = ("normal_vector_x", "normal_vector_y", "normal_vector_z")
 
 def fault_ids(events: DataFrame, by: tuple[str, ...] = ("sequence_label", "cluster")) -> DataFrame:
     """events with fault_id: F0001, ... by sequence and cluster, without gaps; null where a key is."""
-    keys = events.select(*by).dropna().distinct().withColumn("fault_id", F.format_string("F%04d", F.row_number().over(Window.orderBy(*by))))
+    keys = numbered(events.select(*by).dropna().distinct(), by, "_no").select(*by, F.format_string("F%04d", "_no").alias("fault_id"))
     return events.join(keys, list(by), "left")
 
 

@@ -1,15 +1,36 @@
-"""Cutting lineage in iterative jobs by reliable checkpoints."""
+"""Cutting lineage in iterative jobs by reliable checkpoints, and numbering without a single task."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the session's checkpoint folder (spark.checkpoint.dir, or a temporary one where that is unset)."""
+    """df as a checkpoint in the session's checkpoint folder: spark.checkpoint.dir, or where that is unset, on one machine
+    (as in tests) a new temporary one; on a cluster that is an error."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: no folder is known that all executors share")
+            folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """df with its rows' numbers 1, 2, ... in the order of the columns `order`, which must tell rows apart.
+
+    Rows are dealt by ranges of the order, numbered within each range, and moved on by the counts of the ranges before.
+    """
+    p = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ends = p.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return p.withColumn(name, inside).join(ends, "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")

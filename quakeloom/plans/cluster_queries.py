@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cluster, outliers
+from ..operators.lineage import numbered
 from ..operators.neighbors import XYZ
 from ..sources import derived
 from .register import Book
@@ -104,10 +105,8 @@ book.add("w3_cluster_renumbering", f"SELECT label, 'A' || row_number() OVER (ORD
 
 
 def _renumbered(spark, d):
-    from pyspark.sql.window import Window
-
     kept = labels(spark, d).filter("label >= 0").groupBy("label").count().filter("count >= 30")
-    return kept.select("label", F.concat(F.lit("A"), F.row_number().over(Window.orderBy("label")).cast("string")).alias("sequence_label"))
+    return numbered(kept.select("label"), ("label",), "no").select("label", F.concat(F.lit("A"), F.col("no").cast("string")).alias("sequence_label"))
 
 
 book.add("w7_largest_cluster", "SELECT label FROM (SELECT label, count(*) AS n FROM pt WHERE label >= 0 GROUP BY label) ORDER BY n DESC, label LIMIT 1", _PAT)(lambda s, d: cluster.pick_cluster(_patches(s, d).filter("label >= 0"), "label"))

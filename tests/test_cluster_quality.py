@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from quakeloom.operators import cluster
+from quakeloom.operators import cluster, lineage
 
 XYZ = ("X", "Y", "Z")
 
@@ -20,3 +21,33 @@ def test_silhouette_over_many_blocks(spark):
         a, b = mean.pop(labels[i]), min(mean.values())
         value.append((b - a) / max(a, b))
     assert w[:11].sum() > 2_000 and abs(got.silhouette - np.average(value, weights=w[:11])) < 1e-9
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan", "chebyshev"])
+def test_dbscan_of_dense_cells_against_brute_force(spark, metric):
+    rng = np.random.default_rng(5)
+    walk = np.cumsum(rng.normal(0, 0.9, (500, 2)), axis=0)  # a chain of touching, partly filled cells
+    blobs = np.concatenate([rng.normal(c, 0.4, (120, 2)) for c in ((40, 0), (41.6, 0), (60, 5), (60, 5))])
+    p, eps, least = np.concatenate([walk, blobs, rng.uniform(-60, 60, (200, 2))]), 1.0, 6
+    gap = np.abs(p[:, None] - p[None])
+    dist = {"euclidean": np.sqrt((gap**2).sum(-1)), "manhattan": gap.sum(-1), "chebyshev": gap.max(-1)}[metric]
+    near = dist <= eps
+    core, root = near.sum(1) >= least, np.arange(len(p))
+    for _ in range(len(p)):
+        low = np.where(near & core[None] & core[:, None], root[None], len(p)).min(1)
+        new = np.where(core, np.minimum(low, root), root)
+        if (new == root).all():
+            break
+        root = new
+    number = {r: i for i, r in enumerate(sorted(set(root[core].tolist())))}
+    label = np.array([number[r] if c else -1 for r, c in zip(root.tolist(), core, strict=True)])
+    want = [int(x) if c else min((int(v) for v in label[n & core]), default=-1) for x, c, n in zip(label, core, near, strict=True)]
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(p)], "ID long, X double, Y double")
+    got = {r.ID: r.label for r in cluster.dbscan(df, ("X", "Y"), eps, least, metric=metric).collect()}
+    assert [got[i] for i in range(len(p))] == want and len(number) > 3
+
+
+def test_numbers_run_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id AS v")
+    assert [r.no for r in lineage.numbered(df, ("k",), "no").orderBy("k").collect()] == list(range(1, 1001))
+    assert lineage.numbered(df.limit(0), ("k",), "no").count() == 0
