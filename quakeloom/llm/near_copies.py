@@ -172,7 +172,8 @@ def meetings(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     flat = texts.select("tid", "n", F.posexplode("keys").alias("pos", "c")).withColumn("short", short)
     shared = flat.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.max("short").alias("any")).filter("m > 1 AND any").select("c", "m")
     shared = materialize(shared, "shared")
-    return materialize(join_heavy(likely(flat, shared, ["c"]), shared, "c", "m"), "meetings")
+    held = materialize(likely(flat, shared, ["c"]), "likely")  # so that frequent keys are taken out after the bitmap, not before
+    return materialize(join_heavy(held, shared, "c", "m"), "meetings")
 
 
 class Members:
