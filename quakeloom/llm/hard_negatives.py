@@ -24,9 +24,9 @@ POSITIVES, NEGATIVES = 5, 3
 #: Share of the positive's score, in per cent, that a negative's score has at least and at most.
 WINDOW = (50, 95)
 #: Rows of which the codebooks are learned, codes of a half, rows of a shard, anchors of a block on average.
-SAMPLE, CODES, SHARD, ANCHORS = 4096, 12, 4096, 2048
+SAMPLE, CODES, SHARD, ANCHORS = 4096, 16, 16384, 2048
 #: Rows scored at once on a visit.
-BATCH = 128
+BATCH = 1024
 
 
 def valid_rows(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -83,7 +83,7 @@ class MultiIndex:
         self.top, self.x = top, x[order].astype(float) if self.exact else x[order].astype(object)
         cell = (codes[0] * len(books[1]) + codes[1])[order]
         self.first = np.searchsorted(cell, np.arange(len(books[0]) * len(books[1]) + 1))
-        self.radius = []
+        self.places, self.radius = np.arange(len(order)), []
         for h, b, c in zip(halves, books, codes, strict=True):
             far, r = np.sqrt(((h - b[c]) ** 2).sum(axis=1)), np.zeros(len(b))
             np.maximum.at(r, c, far)
@@ -115,22 +115,22 @@ class MultiIndex:
             if self.first[cell] < self.first[cell + 1]:
                 yield int(self.first[cell]), int(self.first[cell + 1]), -bound
 
-    def visit(self, q: np.ndarray, done: Callable[[float], bool], take: Callable[[np.ndarray, np.ndarray], None], fits: Callable[[np.ndarray], np.ndarray]) -> None:
-        """Hands the rows that fit with their scores to take, batch by batch, until done(bound of all that is left)."""
+    def visit(self, q: np.ndarray, stop: float, take: Callable[[np.ndarray, np.ndarray], float], fits: Callable[[np.ndarray], np.ndarray]) -> None:
+        """Hands the rows that fit with their scores to take, batch by batch, while what is left may score `stop` or more; take returns the new `stop`."""
         held, n = [], 0
         for a, b, bound in self.cells(q):
-            if done(bound):
+            if bound < stop:
                 break
-            at = np.arange(a, b)
-            at = at[fits(at)]
-            held.append(at)
-            n += len(at)
+            held.append(self.places[a:b])
+            n += b - a
             if n >= BATCH:
                 rows = np.concatenate(held)
-                take(rows, self.scores(rows, q))
+                rows = rows[fits(rows)]
+                stop = take(rows, self.scores(rows, q))
                 held, n = [], 0
         if n:
             rows = np.concatenate(held)
+            rows = rows[fits(rows)]
             take(rows, self.scores(rows, q))
 
     def best(self, at: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,26 +141,29 @@ class MultiIndex:
         """The first k rows of the label other than uid: places and scores."""
         found = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
 
-        def take(at: np.ndarray, score: np.ndarray) -> None:
+        def take(at: np.ndarray, score: np.ndarray) -> float:
             found[:] = self.best(np.append(found[0], at), np.append(found[1], score), k)
+            return found[1][-1] if len(found[0]) == k else -np.inf
 
-        self.visit(q, lambda bound: len(found[0]) == k and bound < found[1][-1], take, lambda at: (self.label[at] == label) & (self.uid[at] != uid))
+        self.visit(q, -np.inf, take, lambda at: (self.label[at] == label) & (self.uid[at] != uid))
         return found[0], found[1]
 
     def negatives(self, q: np.ndarray, label: int, windows: list[tuple[int, int]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each window (least, most) of scores, the first k rows of other labels with such scores."""
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in windows]
+        stops = [float(least) if least <= most else np.inf for least, most in windows]  # a window is settled once all that is left scores less
 
-        def take(at: np.ndarray, score: np.ndarray) -> None:
+        def take(at: np.ndarray, score: np.ndarray) -> float:
             for i, (least, most) in enumerate(windows):
-                ok = (score >= least) & (score <= most)
+                ok = (score >= stops[i]) & (score <= most)
                 if ok.any():
                     found[i] = self.best(np.append(found[i][0], at[ok]), np.append(found[i][1], score[ok]), k)
+                    if len(found[i][0]) == k:
+                        stops[i] = found[i][1][-1]
+            return min(stops)
 
-        def done(bound: float) -> bool:
-            return all(bound < least or most < least or (len(f[0]) == k and bound < f[1][-1]) for (least, most), f in zip(windows, found, strict=True))
-
-        self.visit(q, done, take, lambda at: self.label[at] != label)
+        if stops:
+            self.visit(q, min(stops), take, lambda at: self.label[at] != label)
         return found
 
 

@@ -6,7 +6,8 @@ it is at most max(ceil(t n), ceil(t m)) - 1, so near sets occur together in at l
 Lists with the same texts are kept once, with a weight. Texts that share a list are searched in blocks of bounded size: a
 text's local lists are merged with a heap except for the longest, which are only probed by binary search for the texts
 that the heap lets through; those with the required occurrences are compared exactly, where the grams beyond the index are
-probed in the other text's sorted set.
+probed in the other text's sorted set. Texts that the parities of 1024 classes of grams rule out (each gram in one set alone
+changes one) are not looked for.
 
 First each text asks for one partner of another group in a few of its lists, which unites copies at little cost. Then, in
 the lists whose texts are still in several groups, all pairs of different groups with the required occurrences are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import join_heavy, likely, materialize, scratch, table
 from .components import components
-from .near_copies import lists, mixed, whole_blocks
+from .near_copies import PARITIES, lists, mixed, parities, whole_blocks
 
 SHINGLE, PERCENT = 4, 85
 #: Texts of a block; lists in which a text asks for a partner, and rounds of that.
@@ -45,6 +46,8 @@ _GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = 0xD6E8FEB86659FD93
 _FACTORS = np.array([0x9E3779B97F4A7C15 * (2 * i + 3) & (2**64 - 1) | 1 for i in range(64)], np.uint64)
 _powers: dict[str, np.ndarray] = {}
+#: Occurrences that no text has.
+OUT = 1 << 62
 
 
 def _power(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +102,7 @@ def occurrences(n: int, m: np.ndarray, percent: int) -> np.ndarray:
     """Least occurrences in the index of a set of n with sets of m grams; more than any set has if the sizes rule it out."""
     most = np.maximum(_least(n, percent), _least(m, percent)) - 1
     out = -(-percent * (n + m) // (100 + percent)) - most
-    return np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), out, np.iinfo(np.int64).max)
+    return np.where(100 * np.minimum(n, m) >= percent * np.maximum(n, m), out, OUT)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -138,7 +141,8 @@ def signature(s: np.ndarray) -> int:
 
 
 def keyed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, own, tid, n, keys) per row of rows (doc_id, own, text): tid is the set's signature, keys its grams in the index, in order."""
+    """(doc_id, own, tid, n, par, keys) per row of rows (doc_id, own, text): tid is the set's signature, par its parities, keys its
+    grams in the index, in order."""
     shared = rows.sparkSession.sparkContext.broadcast(common_grams(rows, shingle))
 
     def first(s: np.ndarray) -> np.ndarray:
@@ -153,9 +157,9 @@ def keyed(rows: DataFrame, shingle: int, percent: int) -> DataFrame:
         for part in _parts(batches):
             found = [gram_set(t.as_py(), shingle) for t in part.column("text")]
             cols = {"doc_id": part.column("doc_id"), "own": part.column("own"), "tid": np.array([signature(s) for s in found], np.int64), "n": np.array([len(s) for s in found], np.int64)}
-            yield pa.RecordBatch.from_pydict(cols | {"keys": lists([first(s) for s in found])})
+            yield pa.RecordBatch.from_pydict(cols | {"par": pa.array([parities(s).tobytes() for s in found], pa.binary()), "keys": lists([first(s) for s in found])})
 
-    return rows.select("doc_id", "own", "text").mapInArrow(run, "doc_id long, own long, tid long, n long, keys array<long>")
+    return rows.select("doc_id", "own", "text").mapInArrow(run, "doc_id long, own long, tid long, n long, par binary, keys array<long>")
 
 
 def inverted(texts: DataFrame) -> DataFrame:
@@ -169,12 +173,16 @@ def inverted(texts: DataFrame) -> DataFrame:
     return materialize(join_heavy(held, named, "c", "m"), "postings")
 
 
+def bits(par: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(par), np.uint64).reshape(len(par), PARITIES)
+
+
 class Block:
-    """Inverted lists of a block's texts (n, g, cs, ws: the lists that a text is on, with weights)."""
+    """Inverted lists of a block's texts (n, g, par, cs, ws: the lists that a text is on, with weights)."""
 
     def __init__(self, part: pd.DataFrame, percent: int):
         self.percent = percent
-        self.n, self.g = part["n"].to_numpy(np.int64), part["g"].to_numpy(np.int64)
+        self.n, self.g, self.par = part["n"].to_numpy(np.int64), part["g"].to_numpy(np.int64), bits(part["par"])
         self.cs, self.ws = [x.tolist() for x in part["cs"]], [x.tolist() for x in part["ws"]]
         self.lists: dict[int, list[int]] = defaultdict(list)
         for i, cs in enumerate(self.cs):
@@ -184,7 +192,9 @@ class Block:
     def search(self, n: int, cs: list[int], ws: list[int], need: np.ndarray) -> Iterator[int]:
         """Places, in order, of the block's texts that occur at least need[place] times, by weight, in the lists cs."""
         found = sorted(((self.lists[c], w) for c, w in zip(cs, ws, strict=True) if c in self.lists), key=lambda x: -len(x[0]))
-        least, aside, weight = int(need.min(initial=np.iinfo(np.int64).max)), 0, 0
+        least, aside, weight = int(need.min(initial=OUT)), 0, 0
+        if least == OUT:
+            return
         while aside < len(found) and weight + found[aside][1] < least:  # a text on the long lists alone can't have enough
             weight += found[aside][1]
             aside += 1
@@ -213,12 +223,14 @@ class Block:
             if count >= need[place]:
                 yield place
 
-    def need(self, n: int, g: np.ndarray) -> np.ndarray:
-        """Required occurrences with each of the block's texts of other groups than g."""
-        return np.where(self.g == g, np.iinfo(np.int64).max, occurrences(n, self.n, self.percent))
+    def need(self, n: int, g: int, par: np.ndarray) -> np.ndarray:
+        """Required occurrences with each of the block's texts of other groups than g; those that can't be near are out of reach."""
+        apart = np.bitwise_count(self.par ^ par).sum(axis=1, dtype=np.int64)
+        most = n + self.n - 2 * -(-self.percent * (n + self.n) // (100 + self.percent))
+        return np.where((self.g == g) | (apart > most), OUT, occurrences(n, self.n, self.percent))
 
 
-_ROW = ("tid", "n", "g", "cs", "ws")
+_ROW = ("tid", "n", "g", "par", "cs", "ws")
 
 
 def _runs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
@@ -247,7 +259,7 @@ def open_rows(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return materialize(join_heavy(held, top, "c", "m"), "open")
 
 
-def first_partners(rows: DataFrame, round_: int, percent: int) -> DataFrame:
+def first_partners(rows: DataFrame, texts: DataFrame, round_: int, percent: int) -> DataFrame:
     """(a, b): for each text, in a block of each of a few of its lists, the first text of another group with the required occurrences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -256,8 +268,8 @@ def first_partners(rows: DataFrame, round_: int, percent: int) -> DataFrame:
                 continue
             x, tid, found = Block(part, percent), part["tid"].to_numpy(np.int64), []
             for i in range(1, len(part)):
-                need = x.need(x.n[i], x.g[i])
-                need[i:] = np.iinfo(np.int64).max  # earlier ones only, so that many texts ask for the same one
+                need = x.need(x.n[i], x.g[i], x.par[i])
+                need[i:] = OUT  # earlier ones only, so that many texts ask for the same one
                 for j in x.search(x.n[i], x.cs[i], x.ws[i], need):
                     found.append((tid[i], tid[j]))
                     x.g[x.g == x.g[i]] = x.g[j]
@@ -266,13 +278,13 @@ def first_partners(rows: DataFrame, round_: int, percent: int) -> DataFrame:
                 yield _pairs(found)
 
     entry = F.struct(F.xxhash64("c", F.lit(round_)).alias("h"), "c", "weight", "m")
-    short = rows.groupBy("tid", "n", "g").agg(F.sort_array(F.collect_list(entry)).alias("short"))
-    asked = short.select("tid", "n", "g", F.col("short.c").alias("cs"), F.col("short.weight").alias("ws"), F.explode(F.slice("short", 1, ASKED)).alias("e"))
+    short = rows.groupBy("tid", "n", "g").agg(F.sort_array(F.collect_list(entry)).alias("short")).join(texts.select("tid", "par"), "tid")
+    asked = short.select("tid", "n", "g", "par", F.col("short.c").alias("cs"), F.col("short.weight").alias("ws"), F.explode(F.slice("short", 1, ASKED)).alias("e"))
     asked = asked.select(*_ROW, "e.c", F.pmod(F.xxhash64("tid", "e.c", F.lit(round_)), F.ceil(F.col("e.m") / BLOCK)).alias("block"))
     return asked.repartition("c", "block").sortWithinPartitions("c", "block", "tid").mapInPandas(run, "a long, b long").distinct()
 
 
-def all_partners(rows: DataFrame, percent: int) -> DataFrame:
+def all_partners(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """(a, b): all pairs of texts of different groups on a common list that have the required occurrences. The texts outside a
     list's largest group ask, in blocks, all texts of the list, in blocks."""
 
@@ -283,12 +295,12 @@ def all_partners(rows: DataFrame, percent: int) -> DataFrame:
                 continue
             x, asking, found = Block(part[~ask], percent), part[ask], []
             to = part["tid"].to_numpy(np.int64)[~ask]
-            for tid, n, g, cs, ws in zip(*(asking[c] for c in _ROW), strict=True):
-                found += [(tid, to[j]) for j in x.search(n, cs.tolist(), ws.tolist(), x.need(n, g))]
+            for tid, n, g, par, cs, ws in zip(*(asking[c] for c in _ROW), strict=True):
+                found += [(tid, to[j]) for j in x.search(n, cs.tolist(), ws.tolist(), x.need(n, g, np.frombuffer(par, np.uint64)))]
             if found:
                 yield _pairs(found)
 
-    short = materialize(rows.groupBy("tid", "n", "g").agg(F.collect_list(F.struct("c", "weight")).alias("s")).select("tid", "n", "g", F.col("s.c").alias("cs"), F.col("s.weight").alias("ws")), "short")
+    short = materialize(rows.groupBy("tid", "n", "g").agg(F.collect_list(F.struct("c", "weight")).alias("s")).select("tid", "n", "g", F.col("s.c").alias("cs"), F.col("s.weight").alias("ws")).join(texts.select("tid", "par"), "tid"), "short")
     at = lambda salt, n: F.pmod(F.xxhash64("tid", "c", F.lit(salt)), F.col(n))
     light = rows.select("tid", "c", F.expr("g <> top").alias("minor"), F.ceil(F.col("m") / BLOCK).alias("nb"), F.ceil((F.col("m") - F.col("own")) / BLOCK).alias("nm"))
     asking = light.filter("minor").withColumn("i", at(1, "nm")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("tid", "c", "i", "j", F.lit(True).alias("ask"))
@@ -324,7 +336,7 @@ def near_groups(texts: DataFrame, rows: DataFrame, shingle: int, percent: int) -
         left = open_rows(postings, roots) if step or not ROUNDS else postings.withColumn("g", F.col("tid"))
         if left.isEmpty():
             break
-        pairs = materialize(first_partners(left, step, percent) if step < ROUNDS else all_partners(left, percent), "pairs")
+        pairs = materialize(first_partners(left, texts, step, percent) if step < ROUNDS else all_partners(left, texts, percent), "pairs")
         if pairs.isEmpty():
             continue
         near = materialize(verified(pairs, texts, rows, shingle, percent), "near")
@@ -345,7 +357,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("own"), "text")
     with scratch(docs.sparkSession):
         every = materialize(keyed(rows, shingle, percent), "keyed")
-        texts = every.filter("n > 0").groupBy("tid").agg(F.min("own").alias("own"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+        texts = every.filter("n > 0").groupBy("tid").agg(F.min("own").alias("own"), F.first("n").alias("n"), F.first("par").alias("par"), F.first("keys").alias("keys"))
         texts = materialize(texts, "texts")
         roots = near_groups(texts, rows, shingle, percent)
         ids = every.filter("n > 0").groupBy("tid").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))

@@ -114,9 +114,9 @@ def _bytes(text: str | bytes | None) -> bytes:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and text with a row key (k, t): rows of equal key have equal texts (t tells rows of one doc_id apart)."""
+    """doc_id and text with a row key (k, t): t tells rows of one doc_id apart by 64 bits of their text, so rows of equal key count as equal."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.hash(text).cast("long").alias("t"))
+    return docs.select("doc_id", text.alias("text"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64(text).alias("t"))
 
 
 def _block_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -229,7 +229,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: bool = True) -> Dat
 
     Texts are UTF-8 bytes; null counts as empty; texts shorter than `length` keep all. Repeated rows are copies of
     one another like any equal texts. A cut may split a character, so kept is binary. An empty table gives an
-    empty result.
+    empty result. Different texts of one doc_id (null is one) are told apart by 64-bit hashes; if two clashed, each would
+    also lose the other's ranges.
     """
     texts = _keyed(docs)
 
@@ -259,7 +260,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     names = docs.columns
     ranges = repeated_ranges(_keyed(docs), length)
-    whole = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.hash(F.coalesce("text", F.lit(""))).cast("long").alias("t"))
+    whole = docs.select(F.struct(*names).alias("row"), F.coalesce("doc_id", F.lit(-(2**63))).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -50,7 +50,7 @@ def test_empty_tables_and_no_anchors(spark):
     assert H.mine(df, F.col("vec_id") == 19_000).count() == 0
 
 
-def test_cells_come_by_falling_bounds_once_each_and_stop_early():
+def test_cells_come_by_falling_bounds_once_each_and_stop_early(monkeypatch):
     import pandas as pd
 
     r = np.random.default_rng(3)
@@ -64,6 +64,12 @@ def test_cells_come_by_falling_bounds_once_each_and_stop_early():
     for a, b, bound in cells:
         assert index.scores(np.arange(a, b), x[0]).max() <= bound
     seen = []
-    index.visit(x[0], lambda bound: bool(seen) and bound < sorted(np.concatenate(seen))[-5], lambda at, score: seen.append(score), lambda at: at >= 0)
+
+    def take(at, score):
+        seen.append(score)
+        return sorted(np.concatenate(seen))[-5]
+
+    monkeypatch.setattr(H, "BATCH", 100)
+    index.visit(x[0], -np.inf, take, lambda at: at >= 0)
     assert sum(map(len, seen)) < 1500
     assert sorted(np.concatenate(seen))[-5:] == sorted(x @ x[0])[-5:]

@@ -101,7 +101,7 @@ def test_search_by_heap_and_probes_counts_all_lists():
     cs = [r.sample(range(40), r.randrange(1, 25)) for _ in range(80)]
     weight = {c: r.randrange(1, 4) for c in range(40)}
     ws = [[weight[c] for c in x] for x in cs]
-    block = J.Block(pd.DataFrame({"n": 100, "g": range(80), "cs": [np.array(x) for x in cs], "ws": [np.array(x) for x in ws]}), 85)
+    block = J.Block(pd.DataFrame({"n": 100, "g": range(80), "par": [bytes(128)] * 80, "cs": [np.array(x) for x in cs], "ws": [np.array(x) for x in ws]}), 85)
     for i in range(80):
         for least in (1, 4, 9, 20):
             need = np.array([least + r.randrange(3) for _ in range(80)])
