@@ -57,3 +57,15 @@ def test_texts_without_repeats(spark):
 
 def test_empty(spark):
     assert S.cut_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_one_id_whose_texts_share_a_32_bit_hash_are_told_apart(spark):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    a, b = ("".join(hashlib.sha256(f"{i}-{n}".encode()).hexdigest() for i in range(4)) for n in (12894, 103908))
+    df = spark.createDataFrame([(None, a), (None, b), (1, a)], "doc_id long, text string")
+    assert df.select(F.hash("text")).distinct().count() == 1
+    assert sorted((str(r.doc_id), r.n_removed) for r in S.cut_repeats(df).collect()) == [("1", 256), ("None", 0), ("None", 256)]
+    assert sorted(len(r.text) for r in S.without_repeats(df).collect()) == [0, 0, 256]
