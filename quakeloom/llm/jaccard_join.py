@@ -178,23 +178,26 @@ def bits(par: pd.Series) -> np.ndarray:
 
 
 class Block:
-    """Inverted lists of a block's texts (n, g, par, cs, ws: the lists that a text is on, with weights)."""
-
-    def __init__(self, part: pd.DataFrame, percent: int):
-        self.percent = percent
-        self.n, self.g, self.par = part["n"].to_numpy(np.int64), part["g"].to_numpy(np.int64), bits(part["par"])
-        self.cs, self.ws = [x.tolist() for x in part["cs"]], [x.tolist() for x in part["ws"]]
-        self.lists: dict[int, list[int]] = defaultdict(list)
-        for i, cs in enumerate(self.cs):
-            for c in cs:
-                self.lists[c].append(i)
-
-    def search(self, n: int, cs: list[int], ws: list[int], need: np.ndarray) -> Iterator[int]:
+    """Inverted lists of a block's texts (cs, ws: the lists that a text is on, with weights), made when they are first asked for."""
+
+    def __init__(self, cs: np.ndarray, ws: np.ndarray):
+        self.cs, self.ws, self.made = cs, ws, None
+
+    @property
+    def lists(self) -> dict[int, list[int]]:
+        if self.made is None:
+            self.made = defaultdict(list)
+            for i, cs in enumerate(self.cs):
+                for c in cs.tolist():
+                    self.made[c].append(i)
+        return self.made
+
+    def search(self, cs: list[int], ws: list[int], need: np.ndarray) -> Iterator[int]:
         """Places, in order, of the block's texts that occur at least need[place] times, by weight, in the lists cs."""
-        found = sorted(((self.lists[c], w) for c, w in zip(cs, ws, strict=True) if c in self.lists), key=lambda x: -len(x[0]))
         least, aside, weight = int(need.min(initial=OUT)), 0, 0
         if least == OUT:
             return
+        found = sorted(((self.lists[c], w) for c, w in zip(cs, ws, strict=True) if c in self.lists), key=lambda x: -len(x[0]))
         while aside < len(found) and weight + found[aside][1] < least:  # a text on the long lists alone can't have enough
             weight += found[aside][1]
             aside += 1
@@ -223,23 +226,26 @@ class Block:
             if count >= need[place]:
                 yield place
 
-    def need(self, n: int, g: int, par: np.ndarray) -> np.ndarray:
-        """Required occurrences with each of the block's texts of other groups than g; those that can't be near are out of reach."""
-        apart = np.bitwise_count(self.par ^ par).sum(axis=1, dtype=np.int64)
-        most = n + self.n - 2 * -(-self.percent * (n + self.n) // (100 + self.percent))
-        return np.where((self.g == g) | (apart > most), OUT, occurrences(n, self.n, self.percent))
-
 
-_ROW = ("tid", "n", "g", "par", "cs", "ws")
+def required(n: np.ndarray, par: np.ndarray, m: np.ndarray, with_: np.ndarray, percent: int) -> np.ndarray:
+    """Required occurrences of each of one side's texts (n grams, parities) with each of the other's; OUT where sizes or parities rule them out."""
+    n = n[:, None]
+    most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+    out = np.where(np.abs(n - m) <= most, occurrences(n, m, percent), OUT)
+    i, j = np.nonzero(out < OUT)
+    apart = np.bitwise_count(par[i] ^ with_[j]).sum(axis=1, dtype=np.int64)
+    gone = apart > most[i, j]
+    out[i[gone], j[gone]] = OUT
+    return out
 
 
-def _runs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
-    """The parts of equal names of a table sorted by them."""
+def _runs(batches: Iterator[pd.DataFrame], names: list[str]) -> Iterator[tuple[dict[str, np.ndarray], int, int]]:
+    """The columns as arrays and the range of each run of equal names, of a table sorted by them."""
     for pdf in whole_blocks(batches, names):
-        key = pdf[names].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            yield pdf.iloc[a:b]
+        cols = {c: pdf[c].to_numpy() for c in pdf.columns if c != "par"} | {"par": bits(pdf["par"])}
+        cuts = np.flatnonzero(np.any([cols[c][1:] != cols[c][:-1] for c in names], axis=0)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(pdf)], strict=True):
+            yield cols, a, b
 
 
 def _pairs(found: list[tuple[int, int]]) -> pd.DataFrame:
@@ -263,24 +269,26 @@ def first_partners(rows: DataFrame, texts: DataFrame, round_: int, percent: int)
     """(a, b): for each text, in a block of each of a few of its lists, the first text of another group with the required occurrences."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _runs(batches, ["c", "block"]):
-            if len(part) < 2 or part["g"].nunique() < 2:
+        for cols, a, b in _runs(batches, ["c", "block"]):
+            n, g, par, tid = (cols[c][a:b] for c in ("n", "g", "par", "tid"))
+            if (g == g[0]).all():
                 continue
-            x, tid, found = Block(part, percent), part["tid"].to_numpy(np.int64), []
-            for i in range(1, len(part)):
-                need = x.need(x.n[i], x.g[i], x.par[i])
-                need[i:] = OUT  # earlier ones only, so that many texts ask for the same one
-                for j in x.search(x.n[i], x.cs[i], x.ws[i], need):
-                    found.append((tid[i], tid[j]))
-                    x.g[x.g == x.g[i]] = x.g[j]
-                    break
+            x, g, found = Block(cols["cs"][a:b], cols["ws"][a:b]), g.copy(), []
+            need = required(n, par, n, par, percent)
+            for i in range(1, b - a):
+                mine = np.where(g[:i] == g[i], OUT, need[i, :i])  # earlier ones only, so that many texts ask for the same one
+                if mine.min() < OUT:
+                    for j in x.search(x.cs[i].tolist(), x.ws[i].tolist(), np.append(mine, np.full(b - a - i, OUT))):
+                        found.append((tid[i], tid[j]))
+                        g[g == g[i]] = g[j]
+                        break
             if found:
                 yield _pairs(found)
 
     entry = F.struct(F.xxhash64("c", F.lit(round_)).alias("h"), "c", "weight", "m")
     short = rows.groupBy("tid", "n", "g").agg(F.sort_array(F.collect_list(entry)).alias("short")).join(texts.select("tid", "par"), "tid")
     asked = short.select("tid", "n", "g", "par", F.col("short.c").alias("cs"), F.col("short.weight").alias("ws"), F.explode(F.slice("short", 1, ASKED)).alias("e"))
-    asked = asked.select(*_ROW, "e.c", F.pmod(F.xxhash64("tid", "e.c", F.lit(round_)), F.ceil(F.col("e.m") / BLOCK)).alias("block"))
+    asked = asked.select("tid", "n", "g", "par", "cs", "ws", "e.c", F.pmod(F.xxhash64("tid", "e.c", F.lit(round_)), F.ceil(F.col("e.m") / BLOCK)).alias("block"))
     return asked.repartition("c", "block").sortWithinPartitions("c", "block", "tid").mapInPandas(run, "a long, b long").distinct()
 
 
@@ -289,16 +297,22 @@ def all_partners(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     list's largest group ask, in blocks, all texts of the list, in blocks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _runs(batches, ["c", "i", "j"]):
-            ask = part["ask"].to_numpy(bool)
-            if not ask.any() or ask.all():
+        found: list[tuple[int, int]] = []
+        for cols, a, b in _runs(batches, ["c", "i", "j"]):
+            ask = cols["ask"][a:b].astype(bool)
+            one, two = a + np.flatnonzero(ask), a + np.flatnonzero(~ask)
+            if not len(one) or not len(two):
                 continue
-            x, asking, found = Block(part[~ask], percent), part[ask], []
-            to = part["tid"].to_numpy(np.int64)[~ask]
-            for tid, n, g, par, cs, ws in zip(*(asking[c] for c in _ROW), strict=True):
-                found += [(tid, to[j]) for j in x.search(n, cs.tolist(), ws.tolist(), x.need(n, g, np.frombuffer(par, np.uint64)))]
-            if found:
+            need = required(cols["n"][one], cols["par"][one], cols["n"][two], cols["par"][two], percent)
+            need[cols["g"][one][:, None] == cols["g"][two]] = OUT
+            x = Block(cols["cs"][two], cols["ws"][two])
+            for i in np.flatnonzero(need.min(axis=1) < OUT):
+                found += [(cols["tid"][one[i]], cols["tid"][two[j]]) for j in x.search(cols["cs"][one[i]].tolist(), cols["ws"][one[i]].tolist(), need[i])]
+            if len(found) > 10_000:
                 yield _pairs(found)
+                found = []
+        if found:
+            yield _pairs(found)
 
     short = materialize(rows.groupBy("tid", "n", "g").agg(F.collect_list(F.struct("c", "weight")).alias("s")).select("tid", "n", "g", F.col("s.c").alias("cs"), F.col("s.weight").alias("ws")).join(texts.select("tid", "par"), "tid"), "short")
     at = lambda salt, n: F.pmod(F.xxhash64("tid", "c", F.lit(salt)), F.col(n))

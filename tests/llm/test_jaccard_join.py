@@ -1,7 +1,6 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from quakeloom.llm import jaccard_join as J
@@ -101,12 +100,12 @@ def test_search_by_heap_and_probes_counts_all_lists():
     cs = [r.sample(range(40), r.randrange(1, 25)) for _ in range(80)]
     weight = {c: r.randrange(1, 4) for c in range(40)}
     ws = [[weight[c] for c in x] for x in cs]
-    block = J.Block(pd.DataFrame({"n": 100, "g": range(80), "par": [bytes(128)] * 80, "cs": [np.array(x) for x in cs], "ws": [np.array(x) for x in ws]}), 85)
+    block = J.Block([np.array(x) for x in cs], [np.array(x) for x in ws])
     for i in range(80):
         for least in (1, 4, 9, 20):
             need = np.array([least + r.randrange(3) for _ in range(80)])
             want = [j for j in range(80) if sum(weight[c] for c in set(cs[i]) & set(cs[j])) >= need[j]]
-            assert list(block.search(100, cs[i], ws[i], need)) == want
+            assert list(block.search(cs[i], ws[i], need)) == want
 
 
 def test_long_text_in_pieces(monkeypatch):
