@@ -91,6 +91,27 @@ def dbscan(points: DataFrame, axes: tuple[str, ...], eps: float, min_samples: in
     return core.select(key, *on, "label", F.lit(True).alias("core")).union(others)
 
 
+def dbscan_pairs(rows: DataFrame, pairs: DataFrame, min_samples: int, key: str = "ID", on: tuple[str, ...] = ()) -> DataFrame:
+    """(key, *on, label, core) as dbscan(), over a given neighbour relation instead of places: pairs (i, j) holds both directions.
+
+    A row with min_samples - 1 neighbours or more is core; pairs of core rows link clusters, a row next to core rows takes
+    the lowest of their labels. Pairs must not link rows of different `on`. Loops don't count.
+    """
+    near = pairs.select("i", "j").filter("i <> j")
+    p = rows.select(key, *on)
+    many = near.groupBy(F.col("i").alias(key)).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= min_samples - 1).select(key)
+    core = cut(p.join(many, key, "left_semi") if min_samples > 1 else p)
+    at = lambda c: core.select(F.col(key).alias(c))
+    from_core = cut(near.join(at("i"), "i", "left_semi"))
+    roots = connected_components(from_core.filter("i < j").join(at("j"), "j", "left_semi").select(F.col("i").alias("a"), F.col("j").alias("b")))
+    core = core.join(roots.withColumnRenamed("node", key), key, "left").withColumn("root", F.coalesce("root", key))
+    core = cut(core.join(_number(core, on), ["root", *on]).drop("root"))
+    rest = p.join(core.select(key), key, "left_anti")
+    beside = from_core.join(core.select(F.col(key).alias("i"), "label"), "i").groupBy(F.col("j").alias(key)).agg(F.min("label").alias("label"))
+    others = rest.join(beside, key, "left").select(key, *on, F.coalesce("label", F.lit(-1)).alias("label"), F.lit(False).alias("core"))
+    return core.select(key, *on, "label", F.lit(True).alias("core")).union(others)
+
+
 def features(cat: DataFrame, names: tuple[str, ...] = ("spatial",), dims: int = 3, window_days: float = 30.0, eps: float = 1000.0) -> tuple[DataFrame, tuple[str, ...]]:
     """cat with clustering features, and their names: places as they are, time scaled so that a window is as long as eps
     (z-score without places), magnitude as a z-score with missing ones at the mean."""

@@ -1,27 +1,39 @@
-"""Cutting lineage in iterative jobs by reliable checkpoints, and numbering without a single task."""
+"""Cutting lineage in iterative jobs by tables in the shared folder, and numbering without a single task."""
 
 from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the session's checkpoint folder: spark.checkpoint.dir, or where that is unset, on one machine
-    (as in tests) a new temporary one; on a cluster that is an error."""
-    sc = df.sparkSession.sparkContext
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the session's checkpoint folder, which all executors see: spark.checkpoint.dir, or where that is
+    unset, on one machine (as in tests) a new temporary one; on a cluster that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
             if not re.fullmatch(r"local(\[.*\])?", sc.master):
                 raise RuntimeError("spark.checkpoint.dir is not set: no folder is known that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+    return f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written as Parquet in the checkpoint folder and read back.
+
+    Later plans start from the table and its real size. A checkpoint would carry the estimated size of all the joins before
+    on, which in a loop grows to numbers of many digits, and joins of small tables would be planned as large ones.
+    """
+    path = new_folder(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:

@@ -141,18 +141,47 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return F.size(crossed) % 2 == 1
 
 
-def with_domain(events: DataFrame, domains: DataFrame, key: str = "ID", most_domains: int = 10_000) -> DataFrame:
-    """events with the stress field of the first domain (by Domain) whose ring holds them, else null.
+def _box_cut(e: Column, x: Column, y: Column, size: Column) -> Column:
+    """Whether the line from (e.x1, e.y1) to (e.x2, e.y2) may touch the square of edge `size` whose lowest corner is (x, y)."""
+    over = (F.least(e.x1, e.x2) <= x + size) & (F.greatest(e.x1, e.x2) >= x) & (F.least(e.y1, e.y2) <= y + size) & (F.greatest(e.y1, e.y2) >= y)
+    across = F.abs((e.y2 - e.y1) * (x + size / 2 - e.x1) - (e.x2 - e.x1) * (y + size / 2 - e.y1))
+    return over & (across <= (F.abs(e.x2 - e.x1) + F.abs(e.y2 - e.y1)) * size / 2 * (1 + 1e-9) + 1e-9)
+
+
+def polygon_cells(domains: DataFrame, cells_across: int = 16) -> DataFrame:
+    """(domain columns, level, cx, cy, inside): squares of edge 2 ** level that a domain's ring holds whole (inside), or cuts.
 
-    Up to most_domains polygons are broadcast and met by their bounding boxes; more are refused, as each event would
-    be compared with all of them.
+    A domain has its own level, at which it is at most cells_across squares wide, so it has at most (cells_across + 1) ** 2 of them.
     """
-    if domains.limit(most_domains + 1).count() > most_domains:
-        raise ValueError(f"more than {most_domains} domains: join by a grid of their boxes first")
     box = {f"_{f}_{c}": F.expr(f"array_{f}(transform(ring, p -> p.{c}))") for f in ("min", "max") for c in "xy"}
     d = domains.withColumns(box)
-    meets = (F.col("X") >= F.col("_min_x")) & (F.col("X") <= F.col("_max_x")) & (F.col("Y") >= F.col("_min_y")) & (F.col("Y") <= F.col("_max_y"))
-    hit = events.select(key, "X", "Y").join(F.broadcast(d), meets).filter(in_polygon(F.col("X"), F.col("Y"), F.col("ring")))
+    wide = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
+    d = d.filter(wide > 0).withColumn("level", F.ceil(F.log2(wide / cells_across)).cast("int"))
+    d = d.withColumn("_size", F.pow(F.lit(2.0), F.col("level")))
+    for c in "xy":
+        d = d.withColumn(f"c{c}", F.explode(F.sequence(*(F.floor(F.col(f"_{f}_{c}") / F.col("_size")).cast("long") for f in ("min", "max")))))
+    x, y = F.col("cx") * F.col("_size"), F.col("cy") * F.col("_size")
+    n = F.size("ring")
+    edges = F.transform("ring", lambda p, i: F.struct(p.x.alias("x1"), p.y.alias("y1"), F.get("ring", F.pmod(i + 1, n)).x.alias("x2"), F.get("ring", F.pmod(i + 1, n)).y.alias("y2")))
+    d = d.withColumn("inside", ~F.exists(edges, lambda e: _box_cut(e, x, y, F.col("_size"))))
+    half = F.col("_size") / 2
+    return d.filter(~F.col("inside") | in_polygon(x + half, y + half, F.col("ring"))).drop("_size", *box)
+
+
+def with_domain(events: DataFrame, domains: DataFrame, key: str = "ID") -> DataFrame:
+    """events with the stress field of the first domain (by Domain) whose ring holds them, else null.
+
+    Domains are cut into squares by their size, and events meet the squares that they lie in by an equi-join, once for each
+    size in use. Only events in squares that the ring cuts are tested against the ring. Any number of domains will do.
+    """
     fields = [c for c in domains.columns if c not in ("ring", "Domain")]
-    first = hit.groupBy(key).agg(F.min_by(F.struct("Domain", *fields), "Domain").alias("_d"))
+    d = cut(domains.withColumn("_id", F.xxhash64("Domain", "ring")).dropDuplicates(["_id"]))
+    squares = cut(polygon_cells(d.select("_id", "ring")).select("_id", "level", "cx", "cy", "inside"))
+    levels = [r["level"] for r in squares.select("level").distinct().collect()]  # one a power of two
+    at = events.select(key, "X", "Y").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    size = F.pow(F.lit(2.0), F.col("level"))
+    met = at.withColumns({"cx": F.floor(F.col("X") / size).cast("long"), "cy": F.floor(F.col("Y") / size).cast("long")}).join(squares, ["level", "cx", "cy"]).select(key, "X", "Y", "_id", "inside")
+    unsure = met.filter(~F.col("inside")).join(d.select("_id", "ring"), "_id").filter(in_polygon(F.col("X"), F.col("Y"), F.col("ring")))
+    hit = met.filter("inside").select(key, "_id").union(unsure.select(key, "_id")).join(d.select("_id", "Domain", *fields), "_id")
+    first = hit.groupBy(key).agg(F.min_by(F.struct("Domain", *fields), F.struct("Domain", "_id")).alias("_d"))
     return events.join(first, key, "left").select(*events.columns, *(F.col(f"_d.{c}").alias(c) for c in ("Domain", *fields)))

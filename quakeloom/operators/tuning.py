@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,17 +93,51 @@ def grid_search(cat: DataFrame, r_values: list[float], dt_values: list[float], k
     return g.withColumn("score", score).orderBy("score", "r", "dt")
 
 
-def pareto(results: DataFrame, objectives: tuple[str, ...]) -> DataFrame:
-    """The rows that no other one beats or equals in all objectives (all to be small) while beating it in one. For result tables of a search."""
+def _skyline(v: np.ndarray, against: np.ndarray | None = None) -> np.ndarray:
+    """Which rows of v no row of `against` (of v itself if not given) beats or equals in all columns while beating it in one."""
+    other = v if against is None else against
+    other = other[np.argsort(other.sum(axis=1), kind="stable")]
+    stays = np.ones(len(v), bool)
+    for row in other:  # those with small sums first: they drop most
+        at = np.flatnonzero(stays)
+        if not len(at):
+            break
+        x = v[at]
+        stays[at[(row <= x).all(axis=1) & (row < x).any(axis=1)]] = False
+    return stays
+
+
+def pareto(results: DataFrame, objectives: tuple[str, ...], block: int = 4096) -> DataFrame:
+    """The rows that no other one beats or equals in all objectives (all to be small) while beating it in one.
+
+    Each part of the table keeps its own front; the fronts are then dealt into blocks of about `block` rows, and each block is
+    held against every other one, each such pair of blocks being a group of its own. Rows with a null objective are beaten
+    by none and beat none.
+    """
     r = cut(results.withColumn("_id", F.monotonically_increasing_id()))
-    other = r.select(*(F.col(c).alias(f"_{c}") for c in objectives))
-    no_worse = None
-    better = F.lit(False)
-    for c in objectives:
-        le = F.col(f"_{c}") <= F.col(c)
-        no_worse = le if no_worse is None else no_worse & le
-        better = better | (F.col(f"_{c}") < F.col(c))
-    return r.join(other, no_worse & better, "left_anti").drop("_id")
+    known = " AND ".join(f"`{c}` IS NOT NULL" for c in objectives)
+    named = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(objectives)]
+    axes = [f"_{i}" for i in range(len(objectives))]
+    schema = "_id long, " + ", ".join(f"{a} double" for a in axes)
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        front = None
+        for pdf in batches:
+            front = pdf if front is None else pd.concat([front, pdf], ignore_index=True)
+            front = front[_skyline(front[axes].to_numpy(float))].reset_index(drop=True)
+        if front is not None:
+            yield front
+
+    def beaten(mine: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        return mine[~_skyline(mine[axes].to_numpy(float), other[axes].to_numpy(float))][["_id"]]
+
+    front = cut(r.filter(known).select("_id", *named).mapInPandas(local, schema))
+    blocks = max(1, -(-front.count() // block))
+    own, every = F.pmod(F.xxhash64("_id"), F.lit(blocks)), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    mine, other = (front.withColumn(p, own).withColumn(q, every).groupBy("p", "q") for p, q in ("pq", "qp"))
+    gone = mine.cogroup(other).applyInPandas(beaten, "_id long").distinct()
+    kept = front.select("_id").join(gone, "_id", "left_anti").union(r.filter(f"NOT ({known})").select("_id"))
+    return r.join(kept, "_id", "left_semi").drop("_id")
 
 
 def representatives(front: DataFrame, objectives: tuple[str, ...]) -> DataFrame:

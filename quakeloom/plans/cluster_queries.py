@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, outliers
+from ..operators import cluster, discs, hierarchy, outliers, subclusters
 from ..operators.lineage import numbered
 from ..operators.neighbors import XYZ
 from ..sources import derived
+from .plane_queries import AXES, DISC, disc_planes
 from .register import Book
 
 book = Book()
@@ -154,3 +155,45 @@ def _c14(spark, d):
 book.add("c16_small_clusters_dropped", "SELECT eid, CASE WHEN count(*) OVER (PARTITION BY label) >= 240 THEN label END AS label FROM pt", _PAT)(lambda s, d: cluster.drop_small_clusters(_patches(s, d), "label", 240).select("eid", "label"))
 book.add("c17_subcluster_benefit", """SELECT coalesce(count(*) >= 2 AND (SELECT min(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2))) FROM c a JOIN c b ON a.label < b.label) > 0.1 * (SELECT greatest(max(X) - min(X), max(Y) - min(Y), max(Z) - min(Z)) FROM pt) AND min(n) / max(n) > 0.2, false) AS beneficial FROM c""",
     f"{_PAT}, c AS (SELECT label, count(*) AS n, avg(X) AS x, avg(Y) AS y, avg(Z) AS z FROM pt WHERE label >= 0 GROUP BY label HAVING count(*) >= 5)")(lambda s, d: cluster.subcluster_benefit(_patches(s, d), "label", 5))
+
+
+@book.add("c7_hdbscan")
+def _c7h(spark, d):
+    """Clusters of all densities of the catalog, by stability; tests hold the operator against a plain condensation."""
+    return hierarchy.hdbscan(derived.catalog(spark, d), XYZ, 15, key="eid")
+
+
+#: Four points of each disc (its centre and a ring) in four classes; planes turned to the side of their class's first.
+_SPLIT = f"""{DISC}, {AXES}, tu AS (SELECT bx.*, normal_vector_x * g AS nx, normal_vector_y * g AS ny, normal_vector_z * g AS nz FROM (SELECT q.*, CASE WHEN q.normal_vector_x * f.fx + q.normal_vector_y * f.fy + q.normal_vector_z * f.fz < 0 THEN -1 ELSE 1 END AS g
+    FROM (SELECT *, eid // 40 % 4 AS o FROM bx) q JOIN (SELECT eid // 40 % 4 AS o, arg_min(normal_vector_x, eid) AS fx, arg_min(normal_vector_y, eid) AS fy, arg_min(normal_vector_z, eid) AS fz FROM bx GROUP BY 1) f USING (o)) bx),
+    pt4 AS (SELECT row_number() OVER (ORDER BY eid, k) AS n, eid, o, nx, ny, nz, {', '.join(f'{c} + rr * (cos(2 * pi() * (k - 1) / 3) * u[{i}] + sin(2 * pi() * (k - 1) / 3) * v[{i}]) AS {c}' for i, c in enumerate('XYZ', 1))} FROM (SELECT *, CASE WHEN k = 0 THEN 0 ELSE least(50.0, r) END AS rr FROM (SELECT *, unnest(range(4)) AS k FROM tu))),
+    gc AS (SELECT *, floor(X / 64) AS cX, floor(Y / 64) AS cY, floor(Z / 64) AS cZ FROM pt4), ga AS (SELECT *, unnest([cX - 1, cX, cX + 1]) AS pX FROM gc), gb AS (SELECT *, unnest([cY - 1, cY, cY + 1]) AS pY FROM ga), gd AS (SELECT *, unnest([cZ - 1, cZ, cZ + 1]) AS pZ FROM gb),
+    pr AS (SELECT a.n AS i, b.n AS j, a.o, {_D2} AS d2, abs((b.X - a.X) * (a.nx + b.nx) / 2 + (b.Y - a.Y) * (a.ny + b.ny) / 2 + (b.Z - a.Z) * (a.nz + b.nz) / 2) AS al, sqrt(pow((a.nx + b.nx) / 2, 2) + pow((a.ny + b.ny) / 2, 2) + pow((a.nz + b.nz) / 2, 2)) AS s
+      FROM gd a JOIN gc b ON b.cX = a.pX AND b.cY = a.pY AND b.cZ = a.pZ AND a.o = b.o WHERE a.n <> b.n),
+    e AS MATERIALIZED (SELECT i, j, o FROM pr WHERE s > 0 AND al / s <= 20 AND sqrt(greatest(d2 - (al / s) * (al / s), 0)) <= 60),
+    co AS MATERIALIZED (SELECT i FROM e GROUP BY i HAVING count(*) >= 4), ce AS MATERIALIZED (SELECT i, j FROM e WHERE i IN (SELECT i FROM co) AND j IN (SELECT i FROM co)),
+    reach AS (SELECT i AS n, i AS r FROM co UNION SELECT ce.j, reach.r FROM reach JOIN ce ON ce.i = reach.n AND reach.r < ce.j), ro AS (SELECT n, min(r) AS root FROM reach GROUP BY n),
+    nu AS (SELECT root, row_number() OVER (PARTITION BY o ORDER BY root) - 1 AS label FROM (SELECT DISTINCT root FROM ro) q JOIN pt4 ON pt4.n = q.root),
+    cl AS (SELECT ro.n, label FROM ro JOIN nu USING (root)), lb AS (SELECT n, label FROM cl UNION ALL SELECT e.i, min(cl.label) FROM e JOIN cl ON cl.n = e.j WHERE e.i NOT IN (SELECT i FROM co) GROUP BY e.i)"""
+
+
+@book.add("c14_disc_split", """SELECT c.eid, c.eid // 40 % 4 AS orient, CAST(coalesce(b.label, -1) AS INT) AS label FROM cat c LEFT JOIN (SELECT eid, label FROM (SELECT pt4.eid, lb.label, count(*) AS k, min(pt4.n) AS f FROM pt4 JOIN lb USING (n) GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY eid ORDER BY k DESC, f) = 1) b USING (eid)""", _SPLIT, recursive=True)
+def _c14d(spark, d):
+    """Parts of four classes of planes by plane-wise distances of their disc points (60 m along, 20 m across)."""
+    planes = disc_planes(spark, d).withColumn("orient", F.expr("eid DIV 40 % 4"))
+    return subclusters.split_spatially(planes, discs.disc_points(planes, 50.0, 1000.0), min_samples=5, anisotropic=(60.0, 20.0), key="eid", on=("orient",))
+
+
+@book.add("c15_adaptive_split", """SELECT eid, grp, CAST(dense_rank() OVER (PARTITION BY grp ORDER BY first) - 1 AS INT) AS label FROM (SELECT eid, grp, min(eid) OVER (PARTITION BY grp, part) AS first FROM (SELECT eid, eid % 40 AS grp, eid // 40 % 2 AS part FROM cat WHERE eid % 17 <> 0))""")
+def _c15a(spark, d):
+    """Each fault patch, doubled 50 km away by half of its events, in its two parts."""
+    moved = derived.catalog(spark, d).filter("eid % 17 <> 0").selectExpr("eid", "X + (eid DIV 40 % 2) * 50000 AS X", "Y", "Z", "eid % 40 AS grp")
+    return subclusters.adaptive_split(moved, 2, 10, key="eid", on=("grp",))
+
+
+@book.add("c15_kmeans_fallback", """SELECT eid, grp, CAST(eid // 3 % 2 AS INT) AS label FROM (SELECT eid, 'g' || eid // 6 AS grp FROM cat) q JOIN (SELECT 'g' || eid // 6 AS grp FROM cat GROUP BY 1 HAVING count(*) = 6) USING (grp)""")
+def _c15k(spark, d):
+    """Groups of six events as two loose triples, too sparse for a density cluster: k-means parts them."""
+    rows = derived.catalog(spark, d).selectExpr("eid", "CONCAT('g', eid DIV 6) AS grp", "CAST((eid DIV 3 % 2) * 1000 + (eid % 3) * 400 AS DOUBLE) AS X", "CAST((eid % 3 = 1) AS INT) * 500.0D AS Y", "0.0D AS Z")
+    whole = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n = 6").select("grp")
+    return subclusters.adaptive_split(rows.join(whole, "grp"), 2, 3, key="eid", on=("grp",))

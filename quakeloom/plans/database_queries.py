@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import database, derived
+from ..operators.lineage import new_folder
+from ..sources import database, derived, versions
 from .register import Book
 
 book = Book()
@@ -160,3 +161,33 @@ def _summary(spark, d):
     round(year(Date) + dayofyear(Date) / 365.25, 9) AS decimal_year, CAST(month(Date) AS INT) AS month FROM cat""")
 def _temporal(spark, d):
     return database.temporal_attributes(derived.catalog(spark, d)).select("ID", "unix_timestamp", "days_since_first", F.round("decimal_year", 9).alias("decimal_year"), "month")
+
+
+@book.add("io9_versions", """SELECT 1 AS version, 'hypocenters' AS name, count(*) AS n, max(eid) AS top, CAST(round(sum(MAG), 3) AS DOUBLE) AS total FROM hyp UNION ALL SELECT 1, 'metadata', count(*), max(n_events), CAST(sum(n_events) AS DOUBLE) FROM meta
+    UNION ALL SELECT 2, 'hypocenters', count(*), max(eid), CAST(round(sum(MAG), 3) AS DOUBLE) FROM hyp UNION ALL SELECT 2, 'metadata', count(*), max(CASE WHEN fault_id < 'F0020' THEN -1 ELSE n_events END), CAST(sum(CASE WHEN fault_id < 'F0020' THEN -1 ELSE n_events END) AS DOUBLE) FROM meta""")
+def _versions(spark, d):
+    """Writes the database, merges new metadata into a second version, and reads both versions back."""
+    folder = new_folder(spark, "database")
+    hyp, meta = derived.hypocenters(spark, d), derived.metadata(spark, d).select("fault_id", "n_events")
+    first = versions.publish(spark, folder, {"hypocenters": hyp, "metadata": meta})
+    new = meta.filter("fault_id < 'F0020'").select("fault_id", F.lit(-1).cast("long").alias("n_events"))
+    versions.publish(spark, folder, {"metadata": new}, {"metadata": "fault_id"}, first)
+    out = None
+    for v in versions.versions(spark, folder):
+        tables = versions.load(spark, folder, v)
+        h = tables["hypocenters"].agg(F.count(F.lit(1)).alias("n"), F.max("eid").alias("top"), F.round(F.sum("MAG"), 3).alias("total"))
+        m = tables["metadata"].agg(F.count(F.lit(1)).alias("n"), F.max("n_events").alias("top"), F.sum("n_events").cast("double").alias("total"))
+        for name, t in (("hypocenters", h), ("metadata", m)):
+            row = t.select(F.lit(v).alias("version"), F.lit(name).alias("name"), "n", "top", "total")
+            out = row if out is None else out.union(row)
+    return out
+
+
+@book.add("io6_load_database", "SELECT * FROM (VALUES ('metadata', true, (SELECT count(*) FROM meta)), ('hypocenters', true, (SELECT count(*) FROM hyp)), ('focals', false, NULL)) t(name, loaded, n)")
+def _load(spark, d):
+    """Tables written and registered as views; the one that is not there is told, not raised."""
+    folder = new_folder(spark, "database")
+    database.write_database({"hypocenters": derived.hypocenters(spark, d), "metadata": derived.metadata(spark, d)}, folder)
+    status = database.load_database(spark, {n: f"{folder}/{n}" for n in database.TABLES})
+    counts = [spark.table(n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in ("metadata", "hypocenters")]
+    return status.select("name", "loaded").join(counts[0].union(counts[1]), "name", "left")

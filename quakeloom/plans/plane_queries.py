@@ -110,12 +110,12 @@ def _flipped(copies):
 
 _NN = ", ".join(f"{e} AS normal_vector_{c}" for c, e in zip("xyz", ("-sin(radians(dip)) * sin(radians(azi))", "-sin(radians(dip)) * cos(radians(azi))", "-cos(radians(dip))"), strict=True))
 DISC = f"{ANG}, dp AS (SELECT ID, eid, X, Y, Z, {_NN}, CAST(10 + eid % 90 AS DOUBLE) AS r FROM ang)"
-_AXES = """ax AS (SELECT *, CASE WHEN abs(normal_vector_z) >= 0.9 THEN [0, normal_vector_z / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y), -normal_vector_y / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y)]
+AXES = """ax AS (SELECT *, CASE WHEN abs(normal_vector_z) >= 0.9 THEN [0, normal_vector_z / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y), -normal_vector_y / sqrt(normal_vector_z * normal_vector_z + normal_vector_y * normal_vector_y)]
     ELSE [normal_vector_y / sqrt(normal_vector_x * normal_vector_x + normal_vector_y * normal_vector_y), -normal_vector_x / sqrt(normal_vector_x * normal_vector_x + normal_vector_y * normal_vector_y), 0] END AS u FROM dp),
     bx AS (SELECT *, [normal_vector_y * u[3] - normal_vector_z * u[2], normal_vector_z * u[1] - normal_vector_x * u[3], normal_vector_x * u[2] - normal_vector_y * u[1]] AS v FROM ax)"""
 
 
-def _discs(spark, d):
+def disc_planes(spark, d):
     a = derived.catalog(spark, d).selectExpr("ID", "eid", "X", "Y", "Z", *(f"{e} AS {c}" for c, e in ANGLES.items()), "CAST(10 + eid % 90 AS DOUBLE) AS rupt_radius")
     n = geometry.plane_normal(F.col("azi"), F.col("dip"))
     return a.withColumns({f"normal_vector_{c}": n[i] for i, c in enumerate("xyz")}).drop("azi", "dip")
@@ -131,17 +131,17 @@ def _cloud(df):
     return df.select("ID", "ring_index", "point_index_on_ring", *(r6(F.col(c), c, 4) for c in "XYZ"))
 
 
-book.add("g2_disc_points", _ON.format(least=3, spacing=12, rings=_RINGS2), f"{DISC}, {_AXES}")(lambda s, d: _cloud(discs.disc_points(_discs(s, d))))
-book.add("g4_surface_points", _ON.format(least=8, spacing=30, rings=_RINGS4.format(s="25.0", first=0)), f"{DISC}, {_AXES}")(lambda s, d: _cloud(discs.surface_points(_discs(s, d), 25.0, 30.0, None)))
+book.add("g2_disc_points", _ON.format(least=3, spacing=12, rings=_RINGS2), f"{DISC}, {AXES}")(lambda s, d: _cloud(discs.disc_points(disc_planes(s, d))))
+book.add("g4_surface_points", _ON.format(least=8, spacing=30, rings=_RINGS4.format(s="25.0", first=0)), f"{DISC}, {AXES}")(lambda s, d: _cloud(discs.surface_points(disc_planes(s, d), 25.0, 30.0, None)))
 _FP = "fp AS (SELECT ID, X, Y, Z, radians((Strike1 + 90) % 360) AS a, radians(Dip1) AS p, 1000 * sqrt(pow(10, (CASE WHEN MAG <= 2 THEN 0.594 * MAG + 0.985 WHEN MAG <= 4 THEN 1.327 + 0.253 * MAG + 0.085 * MAG * MAG ELSE MAG - 0.3 END) - 4.18) / pi()) AS r FROM foc WHERE A = 1 AND Strike1 BETWEEN 0 AND 360), dp AS (SELECT ID, X, Y, Z, r, -sin(p) * sin(a) AS normal_vector_x, -sin(p) * cos(a) AS normal_vector_y, -cos(p) AS normal_vector_z FROM fp)"
-book.add("g3_focal_points", _ON.format(least=8, spacing=25, rings=_RINGS4.format(s="25.0", first=1)), f"{_FP}, {_AXES}")(
+book.add("g3_focal_points", _ON.format(least=8, spacing=25, rings=_RINGS4.format(s="25.0", first=1)), f"{_FP}, {AXES}")(
     lambda s, d: _cloud(discs.focal_points(derived.focals(s, d).withColumns({"Strike2": F.lit(None).cast("double"), "Dip2": F.lit(None).cast("double")}).drop("Date"))))
 _SEG = "CASE WHEN r < 50 THEN 8 WHEN r < 200 THEN 12 ELSE 16 END"
 _VAT = ", ".join(f"round({c} + rr * (cos(2 * pi() * ((w - 1 + n) % n) / n) * u[{i}] + sin(2 * pi() * ((w - 1 + n) % n) / n) * v[{i}]), 4) + 0.0 AS {c}" for i, c in enumerate("XYZ", 1))
-book.add("g5_disc_vertices", f"SELECT ID, CAST(w AS INT) AS vertex, {_VAT} FROM (SELECT *, CASE WHEN w = 0 THEN 0 WHEN w <= n THEN r / 2 ELSE r END AS rr FROM (SELECT *, unnest(range(0, 2 * n + 1)) AS w FROM (SELECT *, {_SEG} AS n FROM bx)))", f"{DISC}, {_AXES}")(
-    lambda s, d: discs.disc_vertices(_discs(s, d)).select("ID", "vertex", *(r6(F.col(c), c, 4) for c in "XYZ")))
+book.add("g5_disc_vertices", f"SELECT ID, CAST(w AS INT) AS vertex, {_VAT} FROM (SELECT *, CASE WHEN w = 0 THEN 0 WHEN w <= n THEN r / 2 ELSE r END AS rr FROM (SELECT *, unnest(range(0, 2 * n + 1)) AS w FROM (SELECT *, {_SEG} AS n FROM bx)))", f"{DISC}, {AXES}")(
+    lambda s, d: discs.disc_vertices(disc_planes(s, d)).select("ID", "vertex", *(r6(F.col(c), c, 4) for c in "XYZ")))
 book.add("g5_disc_faces", f"""SELECT ID, CAST(f[1] AS INT) AS face, CAST(f[2] AS INT) AS a, CAST(f[3] AS INT) AS b, CAST(f[4] AS INT) AS c FROM (SELECT ID, unnest([[s, 0, 1 + s, 1 + t], [n + 2 * s, 1 + s, 1 + n + s, 1 + t], [n + 2 * s + 1, 1 + t, 1 + n + s, 1 + n + t]]) AS f
-    FROM (SELECT *, (s + 1) % n AS t FROM (SELECT ID, n, unnest(range(n)) AS s FROM (SELECT ID, {_SEG} AS n FROM dp))))""", DISC)(lambda s, d: discs.disc_faces(_discs(s, d)))
+    FROM (SELECT *, (s + 1) % n AS t FROM (SELECT ID, n, unnest(range(n)) AS s FROM (SELECT ID, {_SEG} AS n FROM dp))))""", DISC)(lambda s, d: discs.disc_faces(disc_planes(s, d)))
 
 book.add("a5_mean_azimuth", "SELECT fault_id, round((degrees(atan2(avg(sin(radians(rupture_plane_azimuth))), avg(cos(radians(rupture_plane_azimuth))))) + 360) % 360, 5) AS azimuth FROM hyp WHERE fault_id IS NOT NULL GROUP BY fault_id")(
     lambda s, d: derived.hypocenters(s, d).filter("fault_id IS NOT NULL").groupBy("fault_id").agg(F.round(geometry.mean_azimuth(F.col("rupture_plane_azimuth")), 5).alias("azimuth")))
