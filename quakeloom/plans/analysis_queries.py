@@ -121,7 +121,7 @@ def _np(x):
 @book.add("c12_vmf_mixture")
 def _c12m(spark, d):
     """Orientation classes of the planted faults."""
-    labels, _ = orient.vmf_mixture(orient.unit(planted(spark, d), "eid"), 5, starts=2, max_iter=40, key="eid")
+    labels, _ = orient.vmf_mixture(orient.unit(planted(spark, d), "eid"), 5, key="eid")
     return labels
 
 
@@ -140,7 +140,7 @@ def _c15(spark, d):
 def _single(spark, d):
     """Catalog and focals to fault events, in one job over all sequences."""
     cat, foc = derived.catalog(spark, d), derived.focals(spark, d).drop("eid", "lead_s")
-    out = pipeline.image_sequence(cat, foc, stress.EXAMPLE_FIELD, 150.0, k=3, starts=1, max_iter=10, eps=250.0)
+    out = pipeline.image_sequence(cat, foc, stress.EXAMPLE_FIELD, 150.0, k=3, eps=250.0)
     return out.select("ID", "fault_id", "rupture_plane_azimuth", "rupture_plane_dip", "epsilon", "pref_foc", "plane_determination_method", "instability_index", "slip_tendency", "dilation_tendency")
 
 
@@ -149,7 +149,7 @@ def _database(spark, d):
     """Metadata of the fault database of the whole catalog, segmented first."""
     cat, foc = derived.catalog(spark, d).drop("eid"), derived.focals(spark, d).drop("eid", "lead_s")
     steps = [{"eps": 300.0, "min_samples": 8, "min_size": 40}]
-    return pipeline.build_database(cat, foc, steps, stress.EXAMPLE_FIELD, 150.0, k=3, starts=1, max_iter=10, eps=250.0)["metadata"]
+    return pipeline.build_database(cat, foc, steps, stress.EXAMPLE_FIELD, 150.0, k=3, eps=250.0)["metadata"]
 
 
 book.add("s6_plane_orientation", "SELECT i, round_even(degrees(pi() - acos(greatest(-1, nz))), 0) AS rupture_plane_dip FROM n2", FITS)(lambda s, d: fitted(s, d).select("i", "rupture_plane_dip"))

@@ -157,9 +157,9 @@ def _s17(spark, d):
 book.add("s18_numeric_key", "SELECT ID, regexp_replace(ID, '[^0-9]', '', 'g') AS key FROM cat")(lambda s, d: derived.catalog(s, d).select("ID", focal.numeric_key(F.col("ID")).alias("key")))
 
 
-@book.add("j5_enrich", "SELECT c.ID, coalesce(r.sequence_label, 'unclustered') AS sequence_label, r.rupture_plane_dip FROM cat c LEFT JOIN (SELECT * FROM hyp WHERE eid % 3 = 0) r USING (ID)")
+@book.add("j5_enrich", "SELECT c.ID, coalesce(r.sequence_label, 'unclustered') AS sequence_label, r.rupture_plane_dip FROM cat c LEFT JOIN (SELECT * FROM hyp WHERE sequence_label <> 'unclustered') r USING (ID)")
 def _j5(spark, d):
-    results = derived.hypocenters(spark, d).filter("eid % 3 = 0").select("ID", "sequence_label", "rupture_plane_dip")
+    results = derived.hypocenters(spark, d).filter("sequence_label <> 'unclustered'").select("ID", "sequence_label", "rupture_plane_dip")
     return matching.enrich(derived.catalog(spark, d), results).select("ID", "sequence_label", "rupture_plane_dip")
 
 
@@ -174,8 +174,8 @@ def _ap(spark, d):
 
 book.add("d3_prefer_determined", _BEST, _AP)(lambda s, d: matching.prefer_determined(_ap(s, d)))
 book.add("j6_enrich_focals", f"""SELECT f.ID, coalesce(h.sequence_label, 'unclustered') AS sequence_label, h.fault_id, CASE WHEN h.sequence_label <> 'unclustered' THEN h.sequence_label[1] END AS segmentation_level,
-    coalesce(h.sequence_label, 'unclustered') <> 'unclustered' AS is_clustered, b.plane_determination_method, b.epsilon FROM foc f LEFT JOIN (SELECT * FROM hyp WHERE eid % 4 <> 0) h USING (ID) LEFT JOIN ({_BEST}) b USING (ID)""", _AP)(
-    lambda s, d: matching.enrich_focals(derived.focals(s, d).select("ID"), derived.hypocenters(s, d).filter("eid % 4 <> 0"), _ap(s, d)))
+    coalesce(h.sequence_label, 'unclustered') <> 'unclustered' AS is_clustered, b.plane_determination_method, b.epsilon FROM foc f LEFT JOIN (SELECT * FROM hyp WHERE sequence_label <> 'unclustered') h USING (ID) LEFT JOIN ({_BEST}) b USING (ID)""", _AP)(
+    lambda s, d: matching.enrich_focals(derived.focals(s, d).select("ID"), derived.hypocenters(s, d).filter("sequence_label <> 'unclustered'"), _ap(s, d)))
 book.add("j7_semi_by_id", "SELECT count(*) AS n FROM foc WHERE ID IN (SELECT ID FROM hyp WHERE sequence_label <> 'unclustered')")(lambda s, d: derived.focals(s, d).join(derived.hypocenters(s, d).filter("sequence_label <> 'unclustered'"), "ID", "left_semi").agg(F.count(F.lit(1)).alias("n")))
 book.add("j11_anti_by_id", "SELECT ID, MAG FROM cat WHERE ID NOT IN (SELECT ID FROM hyp WHERE sequence_label <> 'unclustered')")(
     lambda s, d: derived.catalog(s, d).join(derived.hypocenters(s, d).filter("sequence_label <> 'unclustered'"), "ID", "left_anti").select("ID", "MAG"))

@@ -111,3 +111,14 @@ def test_mixtures_together_equal_steps_one_by_one(spark):
     labels = {r.ID: r.label for r in orient.vmf_labels(u, models[3]).collect()}
     assert len({(i % 3, labels[i]) for i in range(240)}) == 3
     assert orient.vmf_mixture(u.limit(0), 2)[0].count() == 0
+
+
+def test_classes_part_by_discs_across_their_planes(spark):
+    from quakeloom.plans import pipeline
+
+    rows = [(f"E{i:02d}", 20.0 * (i % 5), 0.0, 120.0 * (i // 10) + i % 2, 0.0, 0.0, -1.0, 40.0) for i in range(20)]
+    df = spark.createDataFrame(rows, "ID string, X double, Y double, Z double, normal_vector_x double, normal_vector_y double, normal_vector_z double, rupt_radius double")
+    part = lambda **o: {r.ID: r.cluster for r in pipeline.classify(df, 1, min_samples=4, min_events=5, starts=1, **o).collect()}
+    assert set(part(eps=150.0).values()) == {"0-0"}
+    split = part(disc_spacing=(20.0, 40.0), anisotropic=(200.0, 30.0))
+    assert [split[f"E{i:02d}"] for i in range(20)] == ["0-0"] * 10 + ["0-1"] * 10
