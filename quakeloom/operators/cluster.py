@@ -289,6 +289,47 @@ def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label
     return out.crossJoin(mean.groupBy("i_r").agg(own, other).agg(F.avg(value).alias("silhouette"))).drop("rows")
 
 
+def silhouette_bounds(df: DataFrame, axes: tuple[str, ...], label: str = "label", detail: int = 12) -> DataFrame:
+    """One row, silhouette, silhouette_low and silhouette_high: the mean silhouette of the clustered rows between sure bounds.
+
+    A cluster is cut into cells, `detail` along its longest side. The mean distance from a row to a cell's rows is at least the
+    distance d to their centre and at most sqrt(d * d + v), v their mean squared distance to it; so it needs no pair of rows, and
+    cells of one row are exact. Clusters that can't be the nearest to any row of a cell are left out by the same bounds for
+    whole clusters. Work grows with rows times cells of a cluster. A finer `detail` narrows the bounds. Rows of
+    clusters of one row count as 0, as do all rows if there is one cluster; without clusters the result is null.
+    """
+    c = df.filter(F.col(label) >= 0).select(F.col(label).alias("label"), *axes).withColumn("r", F.monotonically_increasing_id())
+    box = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.min(a).alias(f"lo_{a}") for a in axes), F.greatest(*(F.max(a) - F.min(a) for a in axes), F.lit(0.0)).alias("wide"))
+    box = box.withColumn("edge", F.when(F.col("wide") > 0, F.col("wide") / detail).otherwise(1.0)).drop("wide")
+    rel = {a: F.col(a) - F.col(f"lo_{a}") for a in axes}
+    c = cut(c.join(box, "label").withColumn("cell", F.struct(*(F.floor(x / F.col("edge")).alias(f"c{i}") for i, x in enumerate(rel.values())))))
+    mean = [F.avg(x).alias(f"m_{a}") for a, x in rel.items()]
+    spread = F.greatest(sum((F.avg(x * x) - F.avg(x) * F.avg(x) for x in rel.values()), F.lit(0.0)), F.lit(0.0)).alias("v")
+
+    def groups(*by: str) -> DataFrame:
+        g = c.groupBy("label", *by).agg(F.count(F.lit(1)).alias("k"), F.first("edge").alias("edge"), *mean, *(F.first(f"lo_{a}").alias(f"lo_{a}") for a in axes), spread)
+        return cut(g.select("label", *by, "k", "edge", *((F.col(f"m_{a}") + F.col(f"lo_{a}")).alias(f"m_{a}") for a in axes), F.when(F.col("k") > 1, F.col("v")).otherwise(0.0).alias("v")))
+
+    cells_, whole = groups("cell"), groups()
+    gap = lambda p, q: F.sqrt(sum(((F.col(f"{p}{a}") - F.col(f"{q}{a}")) * (F.col(f"{p}{a}") - F.col(f"{q}{a}")) for a in axes), F.lit(0.0)))
+    other = whole.select(F.col("label").alias("to"), F.col("v").alias("w"), *(F.col(f"m_{a}").alias(f"o_{a}") for a in axes))
+    d, reach = gap("m_", "o_"), F.col("edge") * math.sqrt(len(axes))  # no row of a cell is farther from its centre
+    near = cells_.join(other, F.col("label") != F.col("to")).withColumns({"low": d - reach, "high": F.sqrt(d * d + F.col("w")) + reach}).select("label", "cell", "to", "low", "high")
+    near = cut(near)
+    least = near.groupBy("label", "cell").agg(F.min("high").alias("least"))
+    near = near.join(least, ["label", "cell"]).filter("low <= least").select("label", "cell", "to").union(cells_.select("label", "cell", "label"))
+    parts = cells_.select(F.col("label").alias("to"), "k", "v", *(F.col(f"m_{a}").alias(f"o_{a}") for a in axes))
+    met = c.select("r", "label", "cell", "n", *axes).join(near, ["label", "cell"]).join(parts, "to")
+    e = gap("", "o_")
+    sums = met.groupBy("r", "label", "n", "to").agg(F.sum("k").alias("k"), F.sum(F.col("k") * e).alias("low"), F.sum(F.col("k") * F.sqrt(e * e + F.col("v"))).alias("high"))
+    own = F.col("to") == F.col("label")
+    ends = [F.max(F.when(own & (F.col("n") > 1), F.col(x) / (F.col("n") - 1))).alias(f"a_{x}") for x in ("low", "high")] + [F.min(F.when(~own, F.col(x) / F.col("k"))).alias(f"b_{x}") for x in ("low", "high")]
+    value = lambda a, b: F.coalesce((F.col(b) - F.col(a)) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
+    rows = sums.groupBy("r").agg(*ends).select(value("a_high", "b_low").alias("low"), value("a_low", "b_high").alias("high"))
+    out = rows.agg(F.avg("low").alias("silhouette_low"), F.avg("high").alias("silhouette_high"))
+    return out.select(((F.col("silhouette_low") + F.col("silhouette_high")) / 2).alias("silhouette"), "silhouette_low", "silhouette_high")
+
+
 def majority_label(points: DataFrame, source: str, label: str = "label", order: str = "point") -> DataFrame:
     """(source, label): the most frequent label of a plane's points other than noise, the first seen on ties, -1 if all are noise."""
     n = points.filter(F.col(label) >= 0).groupBy(source, label).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_o"))

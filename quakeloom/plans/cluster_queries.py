@@ -128,7 +128,12 @@ book.add("c7_density_ladder", "SELECT c.eid, lv.eps, CAST(coalesce(x.label, -1)
     lambda s, d: cluster.density_ladder(derived.catalog(s, d), XYZ, [80.0, 150.0], 5, "eid"))
 
 
-@book.add("c8_dbscan_outliers")
+#: DBSCAN at 1.5 times the 75th percentile of the distance to the fifth neighbour.
+_C8 = f"""k5 AS MATERIALIZED (SELECT sqrt({_D2}) AS d FROM cat a JOIN cat b ON a.eid <> b.eid QUALIFY row_number() OVER (PARTITION BY a.eid ORDER BY {_D2}, b.eid) = 5), ep AS MATERIALIZED (SELECT 1.5 * quantile_cont(d, 0.75) AS eps FROM k5),
+    e AS MATERIALIZED (SELECT a.eid AS i, b.eid AS j FROM cat a JOIN cat b ON sqrt({_D2}) <= (SELECT eps FROM ep)), {DBSCAN[DBSCAN.index("co AS MATERIALIZED"):].replace(f">= {MIN})", ">= 5)", 1)}, tp AS (SELECT coalesce((SELECT label FROM db WHERE label >= 0 GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), 0) AS top)"""
+
+
+@book.add("c8_dbscan_outliers", "SELECT eid, CAST(CASE WHEN label < 0 AND eid % 25 = 0 THEN top ELSE label END AS INT) AS label, label < 0 AND eid % 25 <> 0 AS outlier FROM db, tp", _C8, recursive=True)
 def _c8(spark, d):
     return outliers.flag_outliers_dbscan(derived.catalog(spark, d).withColumn("A", F.expr("if(eid % 25 = 0, 1, NULL)")), key="eid")
 
@@ -197,3 +202,9 @@ def _c15k(spark, d):
     rows = derived.catalog(spark, d).selectExpr("eid", "CONCAT('g', eid DIV 6) AS grp", "CAST((eid DIV 3 % 2) * 1000 + (eid % 3) * 400 AS DOUBLE) AS X", "CAST((eid % 3 = 1) AS INT) * 500.0D AS Y", "0.0D AS Z")
     whole = rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n = 6").select("grp")
     return subclusters.adaptive_split(rows.join(whole, "grp"), 2, 3, key="eid", on=("grp",))
+
+
+@book.add("a9_silhouette_bounds")
+def _a9s(spark, d):
+    """The silhouette of the fault patches between sure bounds, without pairs of rows."""
+    return cluster.silhouette_bounds(_patches(spark, d), XYZ)

@@ -96,7 +96,14 @@ _DOWN = "CASE WHEN sz > 0 THEN -1 ELSE 1 END"
 book.add("a3_orientation_stats", f"""SELECT i, n / 10 AS nr_rupt_fits, {', '.join(f"CASE WHEN n >= 8 THEN round(s{c} / {_LEN} * {_DOWN}, 6) + 0.0 END AS normal_vector_{c}" for c in 'xyz')}, CASE WHEN n >= 8 THEN round({_LEN}, 6) END AS nvector_quality_R,
     CASE WHEN n >= 8 THEN 10.0::DOUBLE END AS nvector_quality_N, round(lambda_2_3, 6) AS lambda_2_3 FROM st""", f"{_MC}, {_STAT}")(
     lambda s, d: planes.orientation_stats(_copies(s, d), 10).select("i", "nr_rupt_fits", *(r6(F.col(f"normal_vector_{c}"), f"normal_vector_{c}") for c in "xyz"), F.round("nvector_quality_R", 6).alias("nvector_quality_R"), "nvector_quality_N", F.round("lambda_2_3", 6).alias("lambda_2_3")))
-book.add("a4_kent_parameters")(lambda s, d: planes.orientation_stats(_copies(s, d), 10).select("i", "kappa", "beta"))
+#: Kent's moment estimates: the spread of the second moments across the mean direction, along its own axes, is r2.
+_KENT = f"""{_MC}, al AS (SELECT mc.i, mc.nx * g AS x, mc.ny * g AS y, mc.nz * g AS z FROM (SELECT mc.*, CASE WHEN mc.nx * f.nx + mc.ny * f.ny + mc.nz * f.nz < 0 THEN -1 ELSE 1 END AS g FROM mc JOIN (SELECT * FROM mc WHERE k = 0) f USING (i)) mc),
+    me AS (SELECT i, count(*) AS n, sum(x) / sqrt(pow(sum(x), 2) + pow(sum(y), 2) + pow(sum(z), 2)) AS mx, sum(y) / sqrt(pow(sum(x), 2) + pow(sum(y), 2) + pow(sum(z), 2)) AS my, sum(z) / sqrt(pow(sum(x), 2) + pow(sum(y), 2) + pow(sum(z), 2)) AS mz, sqrt(pow(sum(x), 2) + pow(sum(y), 2) + pow(sum(z), 2)) / count(*) AS r1 FROM al GROUP BY i),
+    ua AS (SELECT *, CASE WHEN abs(mz) < 0.9 THEN my / sqrt(mx * mx + my * my) ELSE 0 END AS ux, CASE WHEN abs(mz) < 0.9 THEN -mx / sqrt(mx * mx + my * my) ELSE mz / sqrt(my * my + mz * mz) END AS uy, CASE WHEN abs(mz) < 0.9 THEN 0 ELSE -my / sqrt(my * my + mz * mz) END AS uz FROM me),
+    va AS (SELECT *, my * uz - mz * uy AS vx, mz * ux - mx * uz AS vy, mx * uy - my * ux AS vz FROM ua),
+    kt AS (SELECT i, any_value(n) AS n, any_value(r1) AS r1, sqrt(pow(avg(p * p) - avg(q * q), 2) + 4 * pow(avg(p * q), 2)) AS r2 FROM (SELECT va.i, va.n, va.r1, x * ux + y * uy + z * uz AS p, x * vx + y * vy + z * vz AS q FROM al JOIN va USING (i)) GROUP BY i)"""
+book.add("a4_kent_parameters", "SELECT i, CASE WHEN n >= 8 THEN trunc(1 / (2 - 2 * r1 - r2) + 1 / (2 - 2 * r1 + r2)) END AS kappa, CASE WHEN n >= 8 THEN trunc(0.5 * (1 / (2 - 2 * r1 - r2) - 1 / (2 - 2 * r1 + r2))) END AS beta FROM kt", _KENT)(
+    lambda s, d: planes.orientation_stats(_copies(s, d), 10).select("i", "kappa", "beta"))
 book.add("w5_reference_flip", "SELECT i, k, round(nx * g, 9) + 0.0 AS x FROM (SELECT mc.*, CASE WHEN mc.nx * f.nx + mc.ny * f.ny + mc.nz * f.nz < 0 THEN -1 ELSE 1 END AS g FROM mc JOIN (SELECT * FROM mc WHERE k = 0) f USING (i))", _MC)(
     lambda s, d: _flipped(_copies(s, d)))
 

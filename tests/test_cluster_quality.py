@@ -51,3 +51,30 @@ def test_numbers_run_over_ranges(spark):
     df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k", "id AS v")
     assert [r.no for r in lineage.numbered(df, ("k",), "no").orderBy("k").collect()] == list(range(1, 1001))
     assert lineage.numbered(df.limit(0), ("k",), "no").count() == 0
+
+
+def test_silhouette_lies_within_its_bounds(spark):
+    import numpy as np
+    from quakeloom.operators import cluster
+
+    r = np.random.default_rng(6)
+    n = 2000
+    label = np.where(np.arange(n) < 3, -1, np.arange(n) % 5)
+    label[3] = 9  # a cluster of one row
+    x = np.array([[0, 0, 0], [30, 0, 0], [0, 40, 5], [33, 6, 0], [600_000, 0, 0]])[label % 5] + r.normal(0, 6, (n, 3)) + 500_000
+    df = spark.createDataFrame([(int(v), *map(float, p)) for v, p in zip(label, x, strict=True)], "label int, X double, Y double, Z double")
+    kept = label >= 0
+    d = np.sqrt(((x[kept][:, None] - x[kept][None]) ** 2).sum(axis=2))
+    y, values = label[kept], []
+    for i in range(len(y)):
+        means = {v: d[i, y == v].sum() / ((y == v).sum() - (v == y[i]) or 1) for v in set(y)}
+        a, b = means.pop(y[i]), min(means.values())
+        values.append(0.0 if (y == y[i]).sum() == 1 else (b - a) / max(a, b))
+    widths = []
+    for detail in (4, 16):
+        got = cluster.silhouette_bounds(df, ("X", "Y", "Z"), detail=detail).first()
+        assert got.silhouette_low - 1e-9 <= np.mean(values) <= got.silhouette_high + 1e-9
+        widths.append(got.silhouette_high - got.silhouette_low)
+    assert widths[1] < widths[0] and widths[1] < 0.03
+    assert cluster.silhouette_bounds(df.filter("label < 0"), ("X", "Y", "Z")).first().silhouette is None
+    assert cluster.silhouette_bounds(df.filter("label = 1"), ("X", "Y", "Z")).first().silhouette == 0.0
