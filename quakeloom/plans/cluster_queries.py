@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster, discs, hierarchy, outliers, subclusters
+from ..operators import cluster, discs, hierarchy, outliers, reachability, subclusters
 from ..operators.lineage import numbered
 from ..operators.neighbors import XYZ
 from ..sources import derived
@@ -168,6 +168,13 @@ def _c7h(spark, d):
     return hierarchy.hdbscan(derived.catalog(spark, d), XYZ, 15, key="eid")
 
 
+@book.add("c7_optics")
+def _c7o(spark, d):
+    """Reachability order of the catalog and the clusters of its steep areas; tests hold both against plain versions."""
+    found = reachability.optics(derived.catalog(spark, d), XYZ, 10, 0.05, key="eid")
+    return found.select("eid", "label", "position", F.round("reachability", 6).alias("reachability"))
+
+
 #: Four points of each disc (its centre and a ring) in four classes; planes turned to the side of their class's first.
 _SPLIT = f"""{DISC}, {AXES}, tu AS (SELECT bx.*, normal_vector_x * g AS nx, normal_vector_y * g AS ny, normal_vector_z * g AS nz FROM (SELECT q.*, CASE WHEN q.normal_vector_x * f.fx + q.normal_vector_y * f.fy + q.normal_vector_z * f.fz < 0 THEN -1 ELSE 1 END AS g
     FROM (SELECT *, eid // 40 % 4 AS o FROM bx) q JOIN (SELECT eid // 40 % 4 AS o, arg_min(normal_vector_x, eid) AS fx, arg_min(normal_vector_y, eid) AS fy, arg_min(normal_vector_z, eid) AS fz FROM bx GROUP BY 1) f USING (o)) bx),
