@@ -25,6 +25,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{sc.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def join_by_measured_sizes(spark: SparkSession) -> None:
+    """From now on the session broadcasts a table for its size only once that is measured, not by the estimate before.
+
+    The estimate is the size of compressed files, before rows are repeated for cells or copies, so tables of 600,000 rows were
+    taken for small ones and filled the driver. Where adaptive execution is off there is no measured size, and nothing changes.
+    """
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if spark.conf.get("spark.sql.adaptive.enabled") != "true" or most.startswith("-"):
+        return
+    if spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None:
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the checkpoint folder and read back.
 

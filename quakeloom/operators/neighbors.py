@@ -40,14 +40,14 @@ def grid_pairs(probe: DataFrame, build: DataFrame, axes: tuple[str, ...], size:
     """All pairs whose cells of edge `size` touch, with probe's columns as i_*, build's as j_*; equal in the columns `on`.
 
     A superset of the pairs at most `size` apart; the caller filters by distance. The probe side is repeated for the
-    cells around it (3 per axis), the build side stays as it is.
+    cells around it (3 per axis), the build side stays as it is. Neither is broadcast, whatever size is estimated.
     """
     names = [f"c{k}" for k in range(len(axes))]
     left = probe.select(*(F.col(c).alias(f"i_{c}") for c in probe.columns), *(F.col(c).alias(f"_on_{c}") for c in on), F.explode(_around(axes, size)).alias("_c"))
     left = left.select("*", *(F.col(f"_c.{c}").alias(f"_{c}") for c in names)).drop("_c")
     right = build.select(*(F.col(c).alias(f"j_{c}") for c in build.columns), *(F.col(c).alias(f"_on_{c}") for c in on), *(x.alias(f"_{c}") for c, x in zip(names, cells(axes, size), strict=True)))
     keys = [f"_{c}" for c in names] + [f"_on_{c}" for c in on]
-    return left.join(right, keys).drop(*keys)
+    return left.join(right.hint("merge"), keys).drop(*keys)
 
 
 def d2(axes: tuple[str, ...] = XYZ) -> Column:

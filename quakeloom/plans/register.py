@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators.lineage import join_by_measured_sizes
 from ..sources.derived import CTE
 
 
@@ -16,7 +20,12 @@ class Book:
 
     def add(self, name: str, sql: str | None = None, more: str = "", recursive: bool = False) -> Callable:
         def keep(f: Callable) -> Callable:
-            self.queries[name] = f
+            @functools.wraps(f)
+            def planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+                join_by_measured_sizes(spark)
+                return f(spark, sf_dir)
+
+            self.queries[name] = planned
             if sql:
                 self.sql[name] = f"WITH {'RECURSIVE ' * recursive}{CTE}{', ' + more if more else ''} {sql}"
             return f
