@@ -78,3 +78,17 @@ def test_silhouette_lies_within_its_bounds(spark):
     assert widths[1] < widths[0] and widths[1] < 0.03
     assert cluster.silhouette_bounds(df.filter("label < 0"), ("X", "Y", "Z")).first().silhouette is None
     assert cluster.silhouette_bounds(df.filter("label = 1"), ("X", "Y", "Z")).first().silhouette == 0.0
+
+
+def test_small_to_noise_finds_its_labels_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    labels = spark.range(100, numPartitions=2).selectExpr("id AS eid", "CAST(if(id < 10, 1, 2) AS INT) AS label").mapInPandas(count, "eid long, label int")
+    got = {r["eid"]: r["label"] for r in cluster.small_to_noise(labels, 20).collect()}
+    assert got == {i: -1 if i < 10 else 2 for i in range(100)}
+    assert seen.value == 100
