@@ -258,11 +258,38 @@ def cluster_diagnostics(df: DataFrame, label: str = "label") -> DataFrame:
     return g.drop("_X", "_Y", "_Z", "_all")
 
 
+def _block_sums(key: tuple, rows: pd.DataFrame, axes: tuple[str, ...], tile: int = 64) -> pd.DataFrame:
+    """For each row of two blocks, the summed distances to the rows of the other block by cluster (to, of n rows in all)."""
+    rows = rows.sort_values("no")
+    mine, theirs = (rows[rows["block"] == k] for k in key)
+    starts = [np.flatnonzero(np.r_[True, x["label"].to_numpy()[1:] != x["label"].to_numpy()[:-1]]) for x in (mine, theirs)]
+    a, b = ([x[c].to_numpy(float) for c in axes] for x in (mine, theirs))
+    across, down = np.zeros((len(mine), len(starts[1]))), np.zeros((len(starts[0]), len(theirs)))
+    group = np.repeat(np.arange(len(starts[0])), np.diff(np.r_[starts[0], len(mine)]))
+    for i in range(0, len(mine), tile):
+        at = slice(i, i + tile)
+        d = np.zeros((len(mine[at]), len(theirs)))
+        for x, y in zip(a, b, strict=True):
+            gap = np.subtract.outer(x[at], y)
+            gap *= gap
+            d += gap
+        np.sqrt(d, out=d)
+        d[mine["void"].to_numpy()[at]] = 0
+        d[:, theirs["void"].to_numpy()] = 0
+        across[at] = np.add.reduceat(d, starts[1], axis=1)
+        first = np.flatnonzero(np.r_[True, np.diff(group[at]) > 0])
+        down[group[at][first]] += np.add.reduceat(d, first, axis=0)
+    sides = [(mine, theirs, starts[1], across)] + ([(theirs, mine, starts[0], down.T)] if key[0] != key[1] else [])
+    return pd.concat([pd.DataFrame({
+        "no": np.repeat(x["no"].to_numpy(), len(s)), "label": np.repeat(x["label"].to_numpy(), len(s)), "to": np.tile(y["label"].to_numpy()[s], len(x)), "s": sums.ravel(), "n": np.tile(y["n"].to_numpy()[s], len(x)),
+    }) for x, y, s, sums in sides])
+
+
 def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label", block: int = 4096) -> DataFrame:
     """One row: clusters, noise share, size statistics, Calinski-Harabasz and Davies-Bouldin index, and the silhouette.
 
-    The silhouette compares all pairs of clustered rows, at any size: rows are dealt to blocks of about `block` (8 blocks at
-    least), each pair of blocks is one key of a join, and the distances are added up by row and cluster.
+    The silhouette compares all pairs of clustered rows, at any size: rows in the order of their clusters are dealt to blocks of
+    `block` (8 blocks at least), and each pair of blocks is one group, whose distances are added up by row and cluster at once.
     """
     c = df.filter(F.col(label) >= 0).select(F.col(label).alias("label"), *axes)
     g = c.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *(F.avg(a).alias(f"m_{a}") for a in axes))
@@ -278,16 +305,23 @@ def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label
     worst = one.join(two, F.col("i_label") != F.col("j_label")).groupBy("i_label").agg(F.max((F.col("i_radius") + F.col("j_radius")) / gap).alias("w"))
     noise = df.agg(F.avg((F.col(label) < 0).cast("double")).alias("noise_ratio"))
     out = ch.crossJoin(worst.agg(F.avg("w").alias("davies_bouldin"))).crossJoin(noise)
-    c = cut(c.withColumn("r", F.monotonically_increasing_id()))
-    blocks = max(8, -(-c.count() // block))
-    own_block, each = F.pmod(F.xxhash64("r"), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>"))
-    i, j = (c.select(*(F.col(x).alias(f"{p}_{x}") for x in ("r", "label", *axes)), own_block.alias(q), each.alias(o)) for p, q, o in ("ipq", "jqp"))
-    pair = i.join(j, ["p", "q"]).withColumn("d", F.sqrt(d2(axes)))
-    mean = pair.groupBy("i_r", "i_label", "j_label").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("n"))
-    own = F.max(F.when(F.col("i_label") == F.col("j_label"), F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1)))).alias("a")
-    other = F.min(F.when(F.col("i_label") != F.col("j_label"), F.col("s") / F.col("n"))).alias("b")
+    void = F.coalesce(*(F.when(F.col(a).isNull(), F.lit(True)) for a in axes), F.lit(False)).alias("void")
+    c = cut(c.join(g.select("label", "n"), "label").select("label", "n", *axes, void, F.monotonically_increasing_id().alias("r")))
+    size = max(1, min(block, -(-c.count() // 8)))
+    c = cut(numbered(c, ("label", "r"), "no").withColumn("block", F.floor((F.col("no") - 1) / size)).drop("r"))
+    last = c.agg(F.max("block")).first()[0] or 0
+    met = c.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long")))).withColumns({"p": F.least("block", "o"), "q": F.greatest("block", "o")}).drop("o")
+    kind = dict(c.dtypes)["label"]
+
+    def block_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_sums(key, rows, axes)
+
+    sums = met.groupBy("p", "q").applyInPandas(block_sums, f"no long, label {kind}, to {kind}, s double, n long")
+    mean = sums.groupBy("no", "label", "to").agg(F.sum("s").alias("s"), F.first("n").alias("n"))
+    own = F.max(F.when((F.col("label") == F.col("to")) & (F.col("n") > 1), F.col("s") / (F.col("n") - 1))).alias("a")
+    other = F.min(F.when(F.col("label") != F.col("to"), F.col("s") / F.col("n"))).alias("b")
     value = F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0))
-    return out.crossJoin(mean.groupBy("i_r").agg(own, other).agg(F.avg(value).alias("silhouette"))).drop("rows")
+    return out.crossJoin(mean.groupBy("no").agg(own, other).agg(F.avg(value).alias("silhouette"))).drop("rows")
 
 
 def silhouette_bounds(df: DataFrame, axes: tuple[str, ...], label: str = "label", detail: int = 12) -> DataFrame:

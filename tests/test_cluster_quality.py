@@ -92,3 +92,25 @@ def test_small_to_noise_finds_its_labels_once(spark):
     got = {r["eid"]: r["label"] for r in cluster.small_to_noise(labels, 20).collect()}
     assert got == {i: -1 if i < 10 else 2 for i in range(100)}
     assert seen.value == 100
+
+
+def test_silhouette_adds_up_blocks_not_rows_of_pairs(spark, capsys):
+    rng = np.random.default_rng(5)
+    x, label = rng.normal(size=(120, 3)), np.sort(rng.integers(-1, 9, 120))
+    rows = [(int(k), *map(float, p)) for k, p in zip(label, x, strict=True)]
+    rows[50] = (int(label[50]), None, 0.0, 0.0)
+    df = spark.createDataFrame(rows, "label int, X double, Y double, Z double")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    d[50], d[:, 50] = 0, 0
+    want = []
+    for i in np.flatnonzero(label >= 0):
+        n = {k: int((label == k).sum()) for k in set(label[label >= 0])}
+        a = d[i][label == label[i]].sum() / (n[label[i]] - 1) if n[label[i]] > 1 else None
+        b = min(d[i][label == k].sum() / n[k] for k in n if k != label[i])
+        want.append(0 if a is None or max(a, b) == 0 else (b - a) / max(a, b))
+    for block in (7, 4096):
+        got = cluster.clustering_quality(df, ("X", "Y", "Z"), block=block)
+        assert abs(got.first()["silhouette"] - np.mean(want)) < 1e-9
+        capsys.readouterr()
+        got.explain()
+        assert "FlatMapGroupsInPandas" in capsys.readouterr().out
