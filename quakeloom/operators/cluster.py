@@ -39,9 +39,10 @@ def _number(roots: DataFrame, on: tuple[str, ...]) -> DataFrame:
 def _core_roots(core: DataFrame, axes: tuple[str, ...], eps: float, fine: float, on: tuple[str, ...], metric: str) -> DataFrame:
     """(node, root): the components of the nodes of core rows (*axes, *on, _node; a node's rows lie in one cell of edge `fine`).
 
-    Nodes are compared by the boxes around their rows. Boxes wholly within eps are linked, boxes over eps apart are not, and
-    rows are compared only for the other pairs of boxes that are not in one component yet, and of them only those within
-    eps of the other box.
+    Nodes are compared by the boxes around their rows. Boxes wholly within eps are linked, boxes over eps apart are not. Of the
+    other pairs of boxes, first one row of each third of a node's cell is compared, so at most 3 ** axes rows a node however
+    many it has, which joins most; then all rows, only for the pairs that are still not in one component. In both turns
+    only rows within eps of the other box are compared.
     """
     sides = [x for c in axes for x in (f"_lo_{c}", f"_hi_{c}")]
     nodes = cut(core.groupBy("_node", *on).agg(*(f(c).alias(n) for c in axes for f, n in ((F.min, f"_lo_{c}"), (F.max, f"_hi_{c}")))))
@@ -52,9 +53,22 @@ def _core_roots(core: DataFrame, axes: tuple[str, ...], eps: float, fine: float,
     pairs = cut(pairs.select(*(at(p, x) for p in "ij" for x in ("_node", *sides)), (_norm(reach, metric) <= eps).alias("linked")))
     roots = connected_components(pairs.filter("linked").select(F.col("i__node").alias("a"), F.col("j__node").alias("b")))
     roots = cut(nodes.select(F.col("_node").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    third = F.struct(*(F.floor(F.col(c) / (fine / 3)).cast("long").alias(f"t{i}") for i, c in enumerate(axes)))
+    few = core.groupBy("_node", third.alias("_third")).agg(F.min(F.struct(*axes)).alias("_row")).select("_node", "_row.*")
+    for rows in (few, core):
+        roots = cut(_joined(pairs.filter("NOT linked"), roots, rows, axes, eps, metric))
+    return roots
+
+
+def _joined(pairs: DataFrame, roots: DataFrame, core: DataFrame, axes: tuple[str, ...], eps: float, metric: str) -> DataFrame:
+    """roots (node, root) after the pairs of nodes of different roots are joined that have rows of `core` within eps of one another."""
+    sides = [x for c in axes for x in (f"_lo_{c}", f"_hi_{c}")]
+    at = lambda p, x: F.col(f"{p}_{x}")
     for p in "ij":
         pairs = pairs.join(roots.select(F.col("node").alias(f"{p}__node"), F.col("root").alias(f"{p}_root")), f"{p}__node")
-    unsure = cut(pairs.filter("NOT linked AND i_root <> j_root"))
+    unsure = cut(pairs.filter("i_root <> j_root"))
+    if unsure.isEmpty():
+        return roots
     rows = []
     for p, q in ("ij", "ji"):
         mine = core.select(F.col("_node").alias(f"{p}__node"), *(F.col(c).alias(f"{p}_{c}") for c in axes))
