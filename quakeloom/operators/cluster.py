@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import connected_components
 from .lineage import cut, numbered
@@ -390,21 +389,15 @@ def density_ladder(points: DataFrame, axes: tuple[str, ...], levels: list[float]
     """(key, eps, label): clusters of the mutual-reachability graph at each eps of a ladder; noise -1.
 
     A row's core distance is that to its k-th neighbour; two rows are linked at the largest of their distance and their
-    core distances. The edges are found once, at the largest eps.
+    core distances. So two rows are linked at eps where they are within eps and both have k others within it, and the clusters
+    are DBSCAN's core rows with k + 1 rows. No pairs of rows are kept.
     """
-    top = max(levels)
     p = points.select(key, *axes)
-    pairs = grid_pairs(p, p, axes, top).withColumn("d", F.sqrt(d2(axes))).filter((F.col("d") <= top) & (F.col(f"i_{key}") != F.col(f"j_{key}")))
-    pairs = cut(pairs.select(F.col(f"i_{key}").alias("i"), F.col(f"j_{key}").alias("j"), "d"))
-    rank = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
-    core = cut(pairs.withColumn("_r", rank).filter(F.col("_r") == k).select(F.col("i").alias(key), F.col("d").alias("core")))
-    a, b = core.select(F.col(key).alias("i"), F.col("core").alias("ci")), core.select(F.col(key).alias("j"), F.col("core").alias("cj"))
-    edges = cut(pairs.filter("i < j").join(a, "i").join(b, "j").select("i", "j", F.greatest("d", "ci", "cj").alias("w")))
+    placed = p.filter(" AND ".join(f"`{c}` IS NOT NULL AND NOT isnan(`{c}`)" for c in axes))
     out = None
     for eps in levels:
-        roots = connected_components(edges.filter(F.col("w") <= eps).select(F.col("i").alias("a"), F.col("j").alias("b"))).withColumnRenamed("node", key)
-        live = core.filter(F.col("core") <= eps).select(key).join(roots, key, "left").withColumn("root", F.coalesce("root", key))
-        lab = p.select(key).join(live.join(_number(live, ()), "root").select(key, "label"), key, "left").select(key, F.lit(float(eps)).alias("eps"), F.coalesce("label", F.lit(-1)).alias("label"))
+        live = dbscan(placed, axes, eps, k + 1, key).filter("core").select(key, "label")
+        lab = p.select(key).join(live, key, "left").select(key, F.lit(float(eps)).alias("eps"), F.coalesce("label", F.lit(-1)).alias("label"))
         out = lab if out is None else out.union(lab)
     return out
 

@@ -48,3 +48,21 @@ def test_rows_of_dense_cells_are_compared_once_a_cell_is_joined(spark, monkeypat
     got = {r.eid: r.label for r in cluster.dbscan(table(spark, xyz), XYZ, 150.0, 8, "eid").filter("core").collect()}
     assert [got.get(i, -1) for i in range(len(xyz))] == brute(xyz, 150.0, 8).tolist()
     assert left[0] > 200 and left[1] < left[0] / 20
+
+
+def test_density_ladder_writes_no_pairs(spark, monkeypatch):
+    xyz = sheets(np.random.default_rng(6), 900)
+    rows, cut = [], cluster.cut
+
+    def spy(df):
+        rows.append((out := cut(df)).count())
+        return out
+
+    monkeypatch.setattr(cluster, "cut", spy)
+    lost = spark.createDataFrame([(-1, None, 0.0, 0.0), (-2, float("nan"), 0.0, 0.0)], "eid long, X double, Y double, Z double")
+    found = cluster.density_ladder(table(spark, xyz).union(lost), XYZ, [60.0, 150.0], 5, "eid").collect()
+    for eps in (60.0, 150.0):
+        got = {r.eid: r.label for r in found if r.eps == eps}
+        assert (got.pop(-1), got.pop(-2)) == (-1, -1)
+        assert [got[i] for i in range(len(xyz))] == brute(xyz, eps, 6).tolist()
+    assert max(rows) < 20 * len(xyz)  # over 100 pairs a row within 150
