@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import connected_components
 from .lineage import cut, numbered
@@ -337,13 +338,44 @@ def clustering_quality(df: DataFrame, axes: tuple[str, ...], label: str = "label
     return out.crossJoin(mean.groupBy("no").agg(own, other).agg(F.avg(value).alias("silhouette"))).drop("rows")
 
 
-def silhouette_bounds(df: DataFrame, axes: tuple[str, ...], label: str = "label", detail: int = 12) -> DataFrame:
+def _cell_bounds(rows: pd.DataFrame, cells: pd.DataFrame, axes: tuple[str, ...], tile: int = 128) -> pd.DataFrame:
+    """The sums of the bounds of the silhouettes of one cell's rows, and their number, from the cells of the clusters near them."""
+    if rows.empty:
+        return pd.DataFrame({"low": [], "high": [], "n": []})
+    cells = cells.sort_values("to")
+    to, k, v = cells["to"].to_numpy(), cells["k"].to_numpy(float), cells["v"].fillna(0.0).to_numpy(float)
+    at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+    own = cells["own"].to_numpy(bool)[at]
+    void = cells[[f"o_{a}" for a in axes]].isna().to_numpy().any(axis=1)
+    known, size = np.add.reduceat(~void, at) > 0, np.add.reduceat(k, at)
+    k = np.where(void, 0.0, k)
+    n, total = int(rows["n"].iloc[0]), [0.0, 0.0]
+    good = rows[list(axes)].dropna().to_numpy(float)
+    if n < 2 or not (known & ~own).any():  # alone, or no other cluster: all count as 0
+        return pd.DataFrame({"low": [0.0], "high": [0.0], "n": [len(rows)]})
+    for i in range(0, len(good), tile):
+        e2 = np.zeros((len(good[i : i + tile]), len(k)))
+        for x, a in enumerate(axes):
+            e = np.subtract.outer(good[i : i + tile, x], np.where(void, 0.0, cells[f"o_{a}"].to_numpy(float)))
+            e *= e
+            e2 += e
+        low, high = (np.add.reduceat(np.sqrt(x) * k, at, axis=1) for x in (e2, e2 + v))
+        a = [(x[:, own] / (n - 1))[:, 0] for x in (low, high)]
+        b = [(x / size)[:, known & ~own].min(axis=1) for x in (low, high)]
+        for j, (p, q) in enumerate(((a[1], b[0]), (a[0], b[1]))):
+            most = np.maximum(p, q)
+            total[j] += float(np.where(most > 0, (q - p) / np.where(most > 0, most, 1.0), 0.0).sum())
+    return pd.DataFrame({"low": [total[0]], "high": [total[1]], "n": [len(rows)]})
+
+
+def silhouette_bounds(df: DataFrame, axes: tuple[str, ...], label: str = "label", detail: int = 12, block: int = 16_384) -> DataFrame:
     """One row, silhouette, silhouette_low and silhouette_high: the mean silhouette of the clustered rows between sure bounds.
 
     A cluster is cut into cells, `detail` along its longest side. The mean distance from a row to a cell's rows is at least the
     distance d to their centre and at most sqrt(d * d + v), v their mean squared distance to it; so it needs no pair of rows, and
     cells of one row are exact. Clusters that can't be the nearest to any row of a cell are left out by the same bounds for
-    whole clusters. Work grows with rows times cells of a cluster. A finer `detail` narrows the bounds. Rows of
+    whole clusters. Rows of a cell, at most about `block` a group, are held in vectors against the cells that its bounds leave. Work
+    grows with rows times cells of a cluster. A finer `detail` narrows the bounds. Rows of
     clusters of one row count as 0, as do all rows if there is one cluster; without clusters the result is null.
     """
     c = df.filter(F.col(label) >= 0).select(F.col(label).alias("label"), *axes).withColumn("r", F.monotonically_increasing_id())
@@ -358,23 +390,24 @@ def silhouette_bounds(df: DataFrame, axes: tuple[str, ...], label: str = "label"
         g = c.groupBy("label", *by).agg(F.count(F.lit(1)).alias("k"), F.first("edge").alias("edge"), *mean, *(F.first(f"lo_{a}").alias(f"lo_{a}") for a in axes), spread)
         return cut(g.select("label", *by, "k", "edge", *((F.col(f"m_{a}") + F.col(f"lo_{a}")).alias(f"m_{a}") for a in axes), F.when(F.col("k") > 1, F.col("v")).otherwise(0.0).alias("v")))
 
-    cells_, whole = groups("cell"), groups()
+    cells_, whole = cut(groups("cell").withColumns({"id": F.monotonically_increasing_id(), "parts": F.ceil(F.col("k") / block)})), groups()
     gap = lambda p, q: F.sqrt(sum(((F.col(f"{p}{a}") - F.col(f"{q}{a}")) * (F.col(f"{p}{a}") - F.col(f"{q}{a}")) for a in axes), F.lit(0.0)))
     other = whole.select(F.col("label").alias("to"), F.col("v").alias("w"), *(F.col(f"m_{a}").alias(f"o_{a}") for a in axes))
     d, reach = gap("m_", "o_"), F.col("edge") * math.sqrt(len(axes))  # no row of a cell is farther from its centre
-    near = cells_.join(other, F.col("label") != F.col("to")).withColumns({"low": d - reach, "high": F.sqrt(d * d + F.col("w")) + reach}).select("label", "cell", "to", "low", "high")
+    near = cells_.join(other, F.col("label") != F.col("to")).withColumns({"low": d - reach, "high": F.sqrt(d * d + F.col("w")) + reach}).select("id", "parts", "to", "low", "high")
     near = cut(near)
-    least = near.groupBy("label", "cell").agg(F.min("high").alias("least"))
-    near = near.join(least, ["label", "cell"]).filter("low <= least").select("label", "cell", "to").union(cells_.select("label", "cell", "label"))
-    parts = cells_.select(F.col("label").alias("to"), "k", "v", *(F.col(f"m_{a}").alias(f"o_{a}") for a in axes))
-    met = c.select("r", "label", "cell", "n", *axes).join(near, ["label", "cell"]).join(parts, "to")
-    e = gap("", "o_")
-    sums = met.groupBy("r", "label", "n", "to").agg(F.sum("k").alias("k"), F.sum(F.col("k") * e).alias("low"), F.sum(F.col("k") * F.sqrt(e * e + F.col("v"))).alias("high"))
-    own = F.col("to") == F.col("label")
-    ends = [F.max(F.when(own & (F.col("n") > 1), F.col(x) / (F.col("n") - 1))).alias(f"a_{x}") for x in ("low", "high")] + [F.min(F.when(~own, F.col(x) / F.col("k"))).alias(f"b_{x}") for x in ("low", "high")]
-    value = lambda a, b: F.coalesce((F.col(b) - F.col(a)) / F.nullif(F.greatest(a, b), F.lit(0.0)), F.lit(0.0))
-    rows = sums.groupBy("r").agg(*ends).select(value("a_high", "b_low").alias("low"), value("a_low", "b_high").alias("high"))
-    out = rows.agg(F.avg("low").alias("silhouette_low"), F.avg("high").alias("silhouette_high"))
+    least = near.groupBy("id").agg(F.min("high").alias("least"))
+    own = cells_.select("id", "parts", F.col("label").alias("to"), F.lit(True).alias("own"))
+    near = near.join(least, "id").filter("low <= least").select("id", "parts", "to", F.lit(False).alias("own")).union(own)
+    held = cells_.select(F.col("label").alias("to"), "k", "v", *(F.col(f"m_{a}").alias(f"o_{a}") for a in axes))
+    met = near.join(held, "to").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("id", "part", F.dense_rank().over(Window.partitionBy("id", "part").orderBy("to")).alias("to"), "own", "k", "v", *(f"o_{a}" for a in axes))
+    mine = c.join(cells_.select("label", "cell", "id", "parts"), ["label", "cell"]).select("id", F.pmod(F.xxhash64("r"), "parts").alias("part"), "n", *axes)
+
+    def cell_bounds(rows: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+        return _cell_bounds(rows, cells, axes)
+
+    sums = mine.groupBy("id", "part").cogroup(met.groupBy("id", "part")).applyInPandas(cell_bounds, "low double, high double, n long")
+    out = sums.agg((F.sum("low") / F.sum("n")).alias("silhouette_low"), (F.sum("high") / F.sum("n")).alias("silhouette_high"))
     return out.select(((F.col("silhouette_low") + F.col("silhouette_high")) / 2).alias("silhouette"), "silhouette_low", "silhouette_high")
 
 

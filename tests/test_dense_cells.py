@@ -66,3 +66,14 @@ def test_density_ladder_writes_no_pairs(spark, monkeypatch):
         assert (got.pop(-1), got.pop(-2)) == (-1, -1)
         assert [got[i] for i in range(len(xyz))] == brute(xyz, eps, 6).tolist()
     assert max(rows) < 20 * len(xyz)  # over 100 pairs a row within 150
+
+
+def test_silhouette_bounds_hold_rows_of_a_cell_in_vectors(spark, capsys):
+    xyz = sheets(np.random.default_rng(7), 600)
+    df = table(spark, xyz).selectExpr("*", "CAST(eid DIV 200 AS INT) AS label")
+    whole = cluster.silhouette_bounds(df, XYZ, detail=4)
+    parts = cluster.silhouette_bounds(df, XYZ, detail=4, block=5).first()
+    assert np.allclose(whole.first(), parts, rtol=1e-12)
+    capsys.readouterr()
+    whole.explain()
+    assert "FlatMapCoGroupsInPandas" in capsys.readouterr().out
