@@ -29,3 +29,15 @@ def test_queries_broadcast_nothing_by_estimate(spark, sf_dir, capsys, name):
     spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" not in plan(registry.QUERIES[name](spark, sf_dir), capsys)
     assert spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") is not None
+
+
+#: Queries of pairs that broadcast 600,000 rows by the size of their files before both sides were shuffled.
+PAIR_QUERIES = [
+    "j1_neighbor_pairs",
+]
+
+
+@pytest.mark.parametrize("name", PAIR_QUERIES)
+def test_pair_queries_broadcast_no_events(spark, sf_dir, capsys, name):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760b")
+    assert "BroadcastHashJoin" not in (text := plan(registry.QUERIES[name](spark, sf_dir), capsys)) and "SortMergeJoin" in text
