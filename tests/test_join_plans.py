@@ -33,6 +33,7 @@ def test_queries_broadcast_nothing_by_estimate(spark, sf_dir, capsys, name):
 
 #: Queries of pairs that broadcast 600,000 rows by the size of their files before both sides were shuffled.
 PAIR_QUERIES = [
+    "j1_neighbor_pairs_in_time",
     "a14_plane_quality",
     "c18_grid_moments",
     "j9_anisotropic_pairs",
