@@ -1,5 +1,6 @@
 """Loops leave their plans behind as garbage; a cut has the driver collect it at times."""
 
+from quakeloom import registry
 from quakeloom.operators import lineage
 
 
@@ -18,3 +19,11 @@ def test_cut_collects_garbage_at_times(spark, monkeypatch):
     assert first > before
     assert lineage.cut(spark.range(7)).count() == 7
     assert lineage._collected == [5000.0]
+
+
+def test_two_step_report_collects_garbage_in_its_loops(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(lineage, "_collected", [0.0])
+    monkeypatch.setattr(lineage, "COLLECT_S", 0.0)
+    before = full_collections(spark)
+    assert registry.QUERIES["c6_two_step_report"](spark, sf_dir).count() == 2
+    assert full_collections(spark) > before + 1
