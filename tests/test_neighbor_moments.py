@@ -1,10 +1,11 @@
 """Sums of neighbourhoods in vectors equal those of the table of pairs, which they do without."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quakeloom import registry
-from quakeloom.operators import neighbors, planes
+from quakeloom.operators import neighbors, planes, tiles
 
 COV = planes.COVARIANCE
 
@@ -47,3 +48,31 @@ def test_plane_queries_make_no_row_of_a_pair(spark, sf_dir, capsys, name):
     registry.QUERIES[name](spark, sf_dir).explain()
     text = capsys.readouterr().out
     assert "MapInArrow" in text and "j_X" not in text
+
+
+@pytest.mark.parametrize("spread", [60.0, 9.0])
+def test_sums_by_cells_equal_those_by_pairs(spread):
+    """A sheet, a heap, many rows in one place, and rows at exactly the radius; on quarters, so sums have no rounding."""
+    r = np.random.default_rng(4)
+    sheet = np.round(r.normal(0, (spread, spread, 1), (4000, 3)) * 4) / 4
+    place = np.concatenate([sheet, np.round(r.normal(40, 10, (900, 3)) * 4) / 4, np.full((600, 3), 25.0), [[100.0, 0, 0], [0, -60.0, 80.0], [0, 0, 0]]]) + (590_000, 120_000, -5_000)
+    mine = place[::3]
+    got, want = planes._cell_sums(mine, place, 100.0, 8, 20), np.zeros((len(mine), 10))
+    for i, x in enumerate(mine):
+        g = place[((place - x) ** 2).sum(axis=1) <= 10_000] - x
+        want[i] = np.r_[len(g), g.sum(axis=0), [(g[:, a] * g[:, b]).sum() for a, b in planes.PRODUCTS]]
+    assert (got == want).all()
+
+
+def test_few_rows_are_held_against_each_other(monkeypatch):
+    """Rows that lie wholly within the radius of one another go by their cells' sums."""
+    place, held = np.random.default_rng(4).normal(0, 5, (5000, 3)), []
+    ring = planes._ring_sums
+    monkeypatch.setattr(planes, "_ring_sums", lambda x, by, at, *a: held.append(len(x) * len(at)) or ring(x, by, at, *a))
+    assert (planes._group_sums(place, place, 100.0)[:, 0] == 5000).all() and not sum(held)
+
+
+def test_dense_tiles_are_repeated_for_few_parts(spark):
+    cat = spark.range(100_000).selectExpr("id AS ID", "CAST(id % 100 AS DOUBLE) AS _X", "CAST(id % 97 AS DOUBLE) AS _Y", "0D AS _Z", "id AS i", "true AS _own").drop("ID")
+    met, by = tiles.tile_groups(cat, 100.0, (), 131_072)
+    assert met.count() == 200_000 and met.select(*by).distinct().count() == 1
